@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from textloom.llm.langid import op7_language_id
 from textloom.llm.lines import OP9_SQL, op9_site_lines
 from textloom.llm.mixing import OP3_SQL, op3_temperature_mixing
+from textloom.llm.packing import op5_best_fit_packing
 from textloom.llm.sharding import op4_stratified_shards
+from textloom.llm.toxicity import op10_toxicity
 
 
 def queries():
     return {
         "op3_temperature_mixing": op3_temperature_mixing,
         "op4_stratified_shards": op4_stratified_shards,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_language_id": op7_language_id,
         "op9_site_lines": op9_site_lines,
+        "op10_toxicity": op10_toxicity,
     }
 
 
