@@ -6,18 +6,22 @@ from textloom.llm.fingerprints import op8_fingerprints
 from textloom.llm.langid import op7_language_id
 from textloom.llm.lines import OP9_SQL, op9_site_lines
 from textloom.llm.mixing import OP3_SQL, op3_temperature_mixing
+from textloom.llm.neardup import op2_dart_minhash
 from textloom.llm.neighbours import op1_block_matrix_search
 from textloom.llm.packing import op5_best_fit_packing
 from textloom.llm.sharding import op4_stratified_shards
+from textloom.llm.suffixes import op6_suffix_passages
 from textloom.llm.toxicity import op10_toxicity
 
 
 def queries():
     return {
         "op1_block_matrix_search": op1_block_matrix_search,
+        "op2_dart_minhash": op2_dart_minhash,
         "op3_temperature_mixing": op3_temperature_mixing,
         "op4_stratified_shards": op4_stratified_shards,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_suffix_passages": op6_suffix_passages,
         "op7_language_id": op7_language_id,
         "op8_fingerprints": op8_fingerprints,
         "op9_site_lines": op9_site_lines,
