@@ -208,7 +208,7 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     bundles: list[list[int]] = []  # [size, first number, count]; unlike lengths may share a size
     of: dict[tuple[int, int], int] = {}
     for length, count in histogram.items():
-        n = max(1, BUNDLE // length)
+        n = max(1, min(BUNDLE, capacity // 2) // length)
         whole = count // n
         if n > 1 and whole:
             of[length, n] = whole * n
