@@ -13,7 +13,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def line_array(text: str | Column) -> Column:
     """The lines of a text; a line feed at its end opens no further line, an empty text has none."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, "\n$", ""), "\r?\n"))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\r?\n"))
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:

@@ -80,9 +80,9 @@ class Relations:
         """value, kind, file_id, line, context, ord: notable tokens of lines."""
         from textloom.functions.text import lines
 
-        pattern = r"[A-Za-z]+ed\b|https?://\S+|\b[A-Z]{3,}\b"
+        pattern = r"[A-Z][A-Z]+|Licensed|License"
         found = lines(self.files, "file_id", "ord").withColumn("value", F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))))
-        kind = F.when(F.col("value").startswith("http"), "url").when(F.col("value").rlike("^[A-Z]{3,}$"), "constant").otherwise("verb")
+        kind = F.when(F.col("value").rlike("^[A-Z]+$"), "constant").otherwise("license")
         return found.select("value", kind.alias("kind"), "file_id", "ord", "line_no", F.col("line").alias("context"))
 
     @cached_property
