@@ -74,14 +74,20 @@ def minimisers(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every retained position and its gram; one more row for each text has its number of words and no gram."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
         for a, z in chunks(texts):
             words = Words(texts[a:z], lower=False)
             at, gram = minimisers(words.hashes, words.first)
             doc = np.searchsorted(words.first, at, side="right") - 1
+            place, n = (at - words.first[doc]).astype(np.int32), words.counts.astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[a:z][doc]), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(gram.view(np.int64))],
+                [
+                    pa.array(np.concatenate((ids[a:z][doc], ids[a:z]))),
+                    pa.array(np.concatenate((place, n))),
+                    pa.concat_arrays([pa.array(gram.view(np.int64)), pa.nulls(z - a, pa.int64())]),
+                ],
                 names=["v", "at", "gram"],
             )
 
@@ -193,20 +199,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A text that occurs in several rows and has 50 words is one span. A passage
     repeated inside one document alone is not reported. Null or short text: no span.
     Null doc_id: counts as a copy, but only rows with an id are searched and
-    returned. Repeated rows: copies. Empty table: no rows.
+    returned. Repeated rows: copies of one text; rows that share an id are taken to
+    share the text. Empty table: no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
-    vertices = cut(rows.groupBy("digest").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("copies")))
-    # a text of several rows is searched once, in the row of its least id; the others are dropped by id
-    double = cut(vertices.filter("copies > 1").select(F.col("v").alias("first"), F.col("digest").alias("of")))
-    searched = rows.filter("doc_id IS NOT NULL").join(double, F.col("digest") == F.col("of"), "left")
-    searched = searched.filter("first IS NULL OR first = doc_id").select(F.col("doc_id").alias("v"), "text")
-    anchors = cut(searched.mapInArrow(_anchors, "v bigint, at int, gram bigint"))
-    shared = cut(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).filter("low < high").select("gram"))
-    kept = cut(
-        anchors.join(shared, "gram").groupBy("v").agg(F.collect_set(F.struct("at", "gram")).alias("places"))
-    )
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
+    digests = cut(rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")))
+    twice = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    # a text of several rows is searched once, in the row of its least id
+    copied = cut(digests.filter("doc_id IS NOT NULL").join(twice, "digest").select(F.col("doc_id").alias("v"), "first", "copies"))
+    later = copied.filter("v <> first").select("v")
+    searched = rows.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("v"), "text")
+    marks = cut(searched.mapInArrow(_anchors, "v bigint, at int, gram bigint"))
+    anchors = marks.filter("gram IS NOT NULL").join(later, "v", "left_anti")
+    by_gram = anchors.groupBy("gram").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    shared = cut(by_gram.filter("low < high").select("gram"))
+    kept = cut(anchors.join(shared, "gram").groupBy("v").agg(F.collect_set(F.struct("at", "gram")).alias("places")))
     n_rows = kept.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     placed = searched.join(kept, "v").select("v", "text", "places.at", "places.gram")
     suffixes = placed.mapInArrow(_contexts, "v bigint, at int, gram bigint, around binary")
@@ -230,16 +238,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = cut(
         islands.groupBy("v", "island").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("other").alias("other_id")).drop("island")
     )
-    single = spans.join(double, spans["v"] == double["first"], "left_anti")
+    single = spans.join(copied.select("v"), "v", "left_anti")
     alone = single.select(F.col("v").alias("doc_id"), "start_word", "end_word", "other_id", F.lit(1).cast("bigint").alias("copies"))
-    twice = cut(vertices.filter("copies > 1").select(F.col("digest").alias("of"), F.col("v").alias("other_id"), "copies"))
-    n_words = F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))
+    lengths = marks.filter("gram IS NULL").select("v", F.col("at").alias("end_word")).distinct()
     copies = (
-        rows.filter("doc_id IS NOT NULL")
-        .join(twice, F.col("digest") == F.col("of"))
-        .withColumn("end_word", n_words.cast("int"))
+        copied.join(lengths, "v")
         .filter(F.col("end_word") >= LEAST_WORDS)
-        .select("doc_id", F.lit(0).alias("start_word"), "end_word", "other_id", "copies")
+        .select(F.col("v").alias("doc_id"), F.lit(0).alias("start_word"), "end_word", F.col("first").alias("other_id"), "copies")
     )
     return alone.unionByName(copies)
 
