@@ -93,7 +93,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words after (48 x 32 bits) and before (nearest first) every retained position."""
+    """The words after (48 x 32 bits) and before (nearest first) every retained position; on side 1 those before stand first."""
     offsets = np.concatenate((GRAM + np.arange(AROUND), -1 - np.arange(AROUND)))
     for batch in batches:
         ids, all_texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
@@ -108,18 +108,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = (where >= 0) & (where < words.counts[doc][:, None])
             where = np.where(inside, where + words.first[doc][:, None], 0)
             around = np.where(inside, short[where], np.uint32(0)).astype(">u4")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[a:z][doc]),
-                    pa.array(at.astype(np.int32)),
-                    pa.array(np.concatenate([np.array(x, np.int64) for x in all_gram[a:z]])),
-                    pa.array([x.tobytes() for x in around], pa.binary()),
-                ],
-                names=["v", "at", "gram", "around"],
-            )
+            gram = np.concatenate([np.array(x, np.int64) for x in all_gram[a:z]])
+            for side, words_around in enumerate((around, np.roll(around, AROUND, axis=1))):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[a:z][doc]),
+                        pa.array(at.astype(np.int32)),
+                        pa.array(gram),
+                        pa.array([x.tobytes() for x in words_around], pa.binary()),
+                        pa.array(np.full(len(at), side, np.int32)),
+                    ],
+                    names=["v", "at", "gram", "around", "side"],
+                )
 
 
-def compare(v: np.ndarray, at: np.ndarray, gram: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, ...]:
+def compare(v: np.ndarray, at: np.ndarray, gram: np.ndarray, around: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, ...]:
     """(v, start, stop, other) of matches between each sorted row and its nearest rows of other documents."""
     n = len(v)
     run = np.concatenate(([True], v[1:] != v[:-1]))
@@ -130,13 +133,14 @@ def compare(v: np.ndarray, at: np.ndarray, gram: np.ndarray, around: np.ndarray)
     for other in (begin - 1, heads[number + 1]):
         mine = np.flatnonzero((other >= 0) & (other < n))
         theirs = other[mine]
-        same = gram[mine] == gram[theirs]
+        same = (gram[mine] == gram[theirs]) & (side[mine] == side[theirs])
         mine, theirs = mine[same], theirs[same]
         for a in range(0, len(mine), 1 << 15):
             m, t = mine[a : a + (1 << 15)], theirs[a : a + (1 << 15)]
             equal = (around[m] == around[t]) & (around[m] != 0)
-            right = GRAM + np.cumprod(equal[:, :AROUND], axis=1).sum(axis=1)
-            left = np.cumprod(equal[:, AROUND:], axis=1).sum(axis=1)
+            first = np.cumprod(equal[:, :AROUND], axis=1).sum(axis=1)
+            second = np.cumprod(equal[:, AROUND:], axis=1).sum(axis=1)
+            right, left = GRAM + np.where(side[m] == 0, first, second), np.where(side[m] == 0, second, first)
             long = left + right >= LEAST_WORDS
             found.append((v[m][long], (at[m] - left)[long], (at[m] + right)[long], v[t][long]))
     return tuple(np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(4))
@@ -155,15 +159,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not rows:
         return
     whole = pa.Table.from_batches(rows)
-    v, at, gram = (whole.column(x).to_numpy() for x in ("v", "at", "gram"))
+    v, at, gram, side = (whole.column(x).to_numpy() for x in ("v", "at", "gram", "side"))
     raw = whole.column("around").to_pylist()
     around = np.frombuffer(b"".join(raw), ">u4").reshape(len(v), 2 * AROUND).astype(np.uint32)
-    found = _matches(*compare(v, at, gram, around))
+    found = _matches(*compare(v, at, gram, around, side))
     n = len(found["v"])
     partition = TaskContext.get().partitionId()
-    names = ["v", "start", "stop", "other", "edge", "partition", "gram", "around"]
+    names = ["v", "start", "stop", "other", "edge", "partition", "gram", "around", "side"]
     yield pa.RecordBatch.from_arrays(
-        [*[pa.array(x) for x in found.values()], pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
+        [*[pa.array(x) for x in found.values()], pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())],
         names=names,
     )
     other = np.flatnonzero(v != v[0])
@@ -175,17 +179,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(v[part]), pa.array(at[part].astype(np.int32)), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64()),
                 pa.array([edge] * len(part)), pa.array(np.full(len(part), partition, np.int32)), pa.array(gram[part]),
-                pa.array([raw[i] for i in part], pa.binary()),
+                pa.array([raw[i] for i in part], pa.binary()), pa.array(side[part]),
             ],
             names=names,
         )
 
 
 def _edge(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["gram", "around", "v", "start"])
+    rows = rows.sort_values(["side", "gram", "around", "v", "start"])
     around = np.frombuffer(b"".join(rows["around"]), ">u4").reshape(len(rows), 2 * AROUND).astype(np.uint32)
     v, at, gram = rows["v"].to_numpy(np.int64), rows["start"].to_numpy(np.int64), rows["gram"].to_numpy(np.int64)
-    return pd.DataFrame(_matches(*compare(v, at, gram, around)))
+    return pd.DataFrame(_matches(*compare(v, at, gram, around, rows["side"].to_numpy())))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,19 +221,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = cut(anchors.join(shared, "gram").groupBy("v").agg(F.collect_set(F.struct("at", "gram")).alias("places")))
     n_rows = kept.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     placed = searched.join(kept, "v").select("v", "text", "places.at", "places.gram")
-    suffixes = placed.mapInArrow(_contexts, "v bigint, at int, gram bigint, around binary")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // SORTED_ROWS))
-    keys = ["gram", "around", "v", "at"]
+    suffixes = placed.mapInArrow(_contexts, "v bigint, at int, gram bigint, around binary, side int")
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * n_rows // SORTED_ROWS))
+    keys = ["side", "gram", "around", "v", "at"]
     compared = cut(
         suffixes.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
-        .mapInArrow(_neighbours, _MATCH + ", edge string, partition int, gram bigint, around binary")
+        .mapInArrow(_neighbours, _MATCH + ", edge string, partition int, gram bigint, around binary, side int")
     )
     edges = compared.filter("edge IS NOT NULL")
     order = Window.orderBy("partition")  # one row for each range
     numbers = edges.select("partition").distinct().select("partition", F.row_number().over(order).alias("nth"))
     meeting = edges.join(numbers, "partition").withColumn("border", F.when(F.col("edge") == "tail", F.col("nth")).otherwise(F.col("nth") - 1))
-    at_edges = meeting.select("border", "v", "start", "gram", "around").groupBy("border").applyInPandas(_edge, _MATCH)
+    at_edges = meeting.select("border", "v", "start", "gram", "around", "side").groupBy("border").applyInPandas(_edge, _MATCH)
     matches = compared.filter("edge IS NULL").select("v", "start", "stop", "other").unionByName(at_edges)
     by_start = Window.partitionBy("v").orderBy("start", "stop")
     reached = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
