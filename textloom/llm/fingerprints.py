@@ -48,8 +48,8 @@ def signatures(texts: list[str], n: int = PERMUTATIONS, k: int = SHINGLE) -> np.
     return out
 
 
-def to_text(signature: np.ndarray) -> str:
-    return signature.astype(">u2").tobytes().hex()
+def to_bytes(signature: np.ndarray) -> bytes:
+    return signature.astype(">u2").tobytes()
 
 
 def edited(text: str, following: str) -> str:
@@ -62,12 +62,12 @@ _FIELDS = [
     ("doc_id", pa.int64()),
     ("n_chars", pa.int64()),
     ("edited_sha256", pa.string()),
-    ("fingerprint", pa.string()),
-    ("edited_fingerprint", pa.string()),
+    ("fingerprint", pa.binary()),
+    ("edited_fingerprint", pa.binary()),
     ("near_edited", pa.float64()),
     ("near_next", pa.float64()),
 ]
-_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _rows(ids: list, texts: list[str], own: np.ndarray, following: list[str], theirs: np.ndarray) -> list[pa.Array]:
@@ -77,8 +77,8 @@ def _rows(ids: list, texts: list[str], own: np.ndarray, following: list[str], th
         pa.array(ids, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new], pa.string()),
-        pa.array([to_text(s) for s in own], pa.string()),
-        pa.array([to_text(s) for s in sig], pa.string()),
+        pa.array([to_bytes(s) for s in own], pa.binary()),
+        pa.array([to_bytes(s) for s in sig], pa.binary()),
         pa.array((own == sig).mean(axis=1) if len(own) else [], pa.float64()),
         pa.array((own == theirs).mean(axis=1) if len(own) else [], pa.float64()),
     ]
@@ -138,7 +138,8 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    ordered = rows.repartitionByRange(n, F.desc_nulls_last("doc_id"), "text").sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
+    # ranges of ids alone: the bounds are sampled, and texts must not be
+    ordered = rows.repartitionByRange(n, F.desc_nulls_last("doc_id")).sortWithinPartitions(F.desc_nulls_last("doc_id"), "text")
     kept = cut(ordered.mapInArrow(_in_order, _SCHEMA + ", kind string, partition int, edge_id bigint, edge_text string"))
     firsts = kept.filter("kind = 'first'").select("partition", F.col("edge_text").alias("text"))
     lasts = kept.filter("kind = 'last'").select("partition", F.col("edge_id").alias("doc_id"), "edge_text")
@@ -148,7 +149,16 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     firsts = firsts.withColumn("at", F.pmod(F.row_number().over(numbers) - 2, F.lit(max(size, 1))))
     lasts = lasts.withColumn("at", F.pmod(F.row_number().over(numbers) - 1, F.lit(max(size, 1))))
     ends = lasts.join(firsts.select("at", "text"), "at").select("doc_id", F.col("edge_text").alias("own"), "text")
-    return kept.filter("kind = 'row'").select(*[n for n, _ in _FIELDS]).unionByName(ends.mapInArrow(_pairs, _SCHEMA))
+    done = kept.filter("kind = 'row'").select(*[n for n, _ in _FIELDS]).unionByName(ends.mapInArrow(_pairs, _SCHEMA))
+    return done.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
+def fingerprint_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, class_id): documents joined by bands of their signatures, Jaccard verified on the shingle sets."""
+    from textloom.llm.neardup import near_duplicates
+
+    # 32 bands of 4 components: a pair at 0.8 shares none once in 20 million
+    return near_duplicates(docs, threshold, signatures, 32, 4, weighted=False)
 
 
 def op8_fingerprints(spark, sf_dir):
