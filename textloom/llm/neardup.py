@@ -42,6 +42,8 @@ from textloom.session import cut, table
 
 BANDS, BAND = 40, 6
 THRESHOLD = 0.8
+#: Code points signed at once; a text has about 1,800 darts however short it is.
+SIGNED = 1 << 16
 #: Vertices of a bucket that one side of a tile holds on average.
 TILE = 256
 _ARRIVAL, _HEIGHT, _NAME = (np.uint64(x) for x in (0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03))
@@ -147,7 +149,7 @@ def _signed(signer: Callable[[list[str]], np.ndarray], bands: int, rows: int):
                 if known is None or (doc_id is not None and (known[0] is None or doc_id < known[0])):
                     least[digest] = (doc_id, text)
             digests, ids, texts = list(least), [x[0] for x in least.values()], [x[1] for x in least.values()]
-            for a, z in chunks(texts):
+            for a, z in chunks(texts, SIGNED):
                 sig = signer(texts[a:z])
                 keys = band_keys(sig, bands, rows).view(np.int64)
                 bare = ~sig.any(axis=1)
@@ -231,8 +233,18 @@ def near_duplicates(
     each has a row. Empty table: no rows. A repeated id with unlike texts: the id's
     texts are linked through it.
     """
+    rows, names = _named(docs, threshold, signer, bands, band, weighted, id_col, text_col)
+    return rows.select("doc_id", "digest").join(names, "digest").select("doc_id", "class_id")
+
+
+def _rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+
+
+def _named(docs, threshold, signer, bands, band, weighted, id_col, text_col) -> tuple[DataFrame, DataFrame]:
+    """(rows, names): doc_id, digest and text of every row, and the class of every digest."""
+    rows = _rows(docs, id_col, text_col)
     signed = rows.mapInArrow(_signed(signer, bands, band), "digest binary, v bigint, keys array<bigint>, sketch binary")
     vertices = cut(
         signed.groupBy("digest").agg(F.min("v").alias("v"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"))
@@ -296,25 +308,35 @@ def near_duplicates(
     labels = contracted(labels, verified(maybe, sets, threshold))
 
     names = vertices.select("digest", "v").join(labels, "v", "left").select("digest", F.coalesce("c", "v").alias("class_id"))
-    return rows.select("doc_id", "digest").join(cut(names), "digest").select("doc_id", "class_id")
+    return rows, cut(names)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class: the one of the class's name. Columns unchanged.
 
-    Rows with a null doc_id and a text of their own stay. Of repeated rows of the
-    kept id one stays. Texts are not shuffled while the ids to drop are few enough
-    for Spark to broadcast.
+    A row without an id goes if its class has a name; of a text that only such rows
+    have, one stays, as does one of repeated rows of a kept id. Texts are not
+    shuffled while the ids to drop are few enough for Spark to broadcast.
     """
-    classes = cut(near_duplicates(docs, **options))
-    dropped = cut(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("__drop")).distinct())
-    kept = docs.join(dropped, docs["doc_id"].cast("bigint") == F.col("__drop"), "left_anti")
-    repeated = cut(classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
-    if repeated.isEmpty():
+    defaults = {"threshold": THRESHOLD, "signer": dart_text_signatures, "bands": BANDS, "band": BAND, "weighted": True}
+    rows, names = _named(docs, **(defaults | options), id_col="doc_id", text_col="text")
+    classes = cut(rows.select("doc_id", "digest").join(names, "digest").select("doc_id", "class_id"))
+    gone = F.col("class_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))
+    dropped = cut(classes.filter(gone).select(F.col("doc_id").alias("__drop")).distinct())
+    kept = docs.filter(docs["doc_id"].isNotNull()).join(dropped, docs["doc_id"].cast("bigint") == F.col("__drop"), "left_anti")
+    counts = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut(counts.filter("n > 1").select(F.col("doc_id").alias("__again")))
+    if not repeated.isEmpty():
+        twice = kept.join(repeated, kept["doc_id"].cast("bigint") == F.col("__again"), "left")
+        once = twice.filter("__again IS NOT NULL").drop("__again").dropDuplicates(["doc_id"])
+        kept = twice.filter("__again IS NULL").drop("__again").unionByName(once)
+    nameless = docs.filter(docs["doc_id"].isNull())
+    if nameless.isEmpty():
         return kept
-    twice = kept.join(repeated.withColumnRenamed("doc_id", "__again"), kept["doc_id"].cast("bigint") == F.col("__again"), "left")
-    once = twice.filter("__again IS NOT NULL").drop("__again").dropDuplicates(["doc_id"])
-    return twice.filter("__again IS NULL").drop("__again").unionByName(once)
+    digest = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    alone = names.filter("class_id IS NULL").select(F.col("digest").alias("__of"))
+    own = nameless.withColumn("__digest", digest).join(alone, F.col("__digest") == F.col("__of"), "left_semi")
+    return kept.unionByName(own.dropDuplicates(["__digest"]).drop("__digest"))
 
 
 def op2_dart_minhash(spark, sf_dir):
