@@ -62,6 +62,6 @@ def report(views: str = "", sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers reports."""
-    from textloom.operators import graph, navigation, quality, ranking  # noqa: F401
+    from textloom.operators import catalogs, graph, navigation, quality, ranking  # noqa: F401
     from textloom.plans import edits  # noqa: F401
     from textloom.streaming import upkeep  # noqa: F401
