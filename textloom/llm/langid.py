@@ -40,10 +40,16 @@ def bucket_of(doc_id: Column, n: int) -> Column:
 
 
 def sampled(rows: DataFrame, label: str, key: Column, most: int) -> DataFrame:
-    """About ``most`` rows of each label (all, if fewer), by a hash of the key."""
-    counts = rows.groupBy(label).agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count(F.lit(1))).alias("__share"))
+    """About ``most`` rows of each label (all, if fewer), by a hash of the key.
+
+    One count for each label reaches the driver, as many as the model has columns.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     u = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return rows.join(counts, label).filter(u < F.col("__share")).drop("__share")
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col(label) == F.lit(r[label]), min(1.0, most / r["n"])).otherwise(share)
+    return rows.filter(u < share)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
