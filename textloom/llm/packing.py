@@ -43,7 +43,7 @@ BUNDLE = 128
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 400_000
 #: Code points tokenized at once.
-TOKENIZED = 1 << 21
+TOKENIZED = 1 << 20
 _PLAIN = 0x250
 _ODD = re.compile(r"['\x1c-\x1f]|<\||[^\x00-ɏ]")
 

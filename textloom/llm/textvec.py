@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Code points handled at once; longer single texts form a chunk of their own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SHINGLE = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
