@@ -18,8 +18,8 @@ forming all pairs of a bucket:
 3. in buckets that still hold several components, every vertex is verified against
    the bucket's hub;
 4. in those that do so even then, vertices outside the hub's component are compared
-   with the bucket by signature, in tiles of bounded size, and what may be similar
-   is verified.
+   with the bucket by signature, in tiles of bounded size; what may be similar is
+   verified there, and only links between components leave a tile.
 
 Verification is exact (weighted Jaccard of the shingle sets). A link at similarity
 0.8 is missed only if no band agrees: (1 - 0.8**6)**40, about 5 in a million.
@@ -190,18 +190,37 @@ def _similar(threshold: float):
     return run
 
 
-def _tile(least: float):
+def _tile(least: float, threshold: float):
+    """Links between components of a tile: what may be similar by its signature is verified at once.
+
+    A pair whose components are linked already is passed over, so a tile gives fewer
+    links than it has rows, however many of its pairs are alike.
+    """
+
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         one, other = tile[tile["side"] == 0], tile[tile["side"] == 1]
         if not len(one) or not len(other):
             return pd.DataFrame({"a": [], "b": []})
         p, q = (np.stack([np.frombuffer(x, np.uint8) for x in t["sketch"]]) for t in (one, other))
+        pe, qe = ([np.frombuffer(x, np.uint32) for x in t["elements"]] for t in (one, other))
         pv, qv, pc, qc = (t[x].to_numpy(np.int64) for x in ("v", "c") for t in (one, other))
-        found = []
+        number = {c: i for i, c in enumerate(sorted({*pc.tolist(), *qc.tolist()}))}
+        label = np.arange(len(number))
+        pn, qn = np.array([number[c] for c in pc.tolist()]), np.array([number[c] for c in qc.tolist()])
+        p_size, q_size = np.array([len(x) for x in pe]), np.array([len(x) for x in qe])
+        links = []
         for i in range(len(p)):
-            alike = np.flatnonzero(((p[i] == q).mean(axis=1) >= least) & (pc[i] != qc))
-            found += [(min(pv[i], x), max(pv[i], x)) for x in qv[alike]]
-        return pd.DataFrame(sorted(set(found)), columns=["a", "b"])
+            alike = (p[i] == q).mean(axis=1) >= least
+            # sets of too unlike sizes cannot reach the threshold
+            alike &= np.minimum(q_size, p_size[i]) >= threshold * np.maximum(q_size, p_size[i]) - 1e-9
+            for j in np.flatnonzero(alike):
+                if label[pn[i]] == label[qn[j]]:
+                    continue
+                both = len(np.intersect1d(pe[i], qe[j], assume_unique=True))
+                if both >= threshold * (len(pe[i]) + len(qe[j]) - both) - 1e-9:
+                    links.append((pv[i], qv[j]))
+                    label[label == label[qn[j]]] = label[pn[i]]
+        return pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
@@ -295,17 +314,17 @@ def _named(docs, threshold, signer, bands, band, weighted, id_col, text_col) ->
     still = labelled(labels).filter("n > 2")
     outside = F.col("c") != F.col("hub_c")
     sizes = still.groupBy("key").agg(F.count(F.when(outside, 1)).alias("n_out"), F.count(F.lit(1)).alias("n_all")).filter("n_out > 0")
-    still = still.join(sizes, "key").join(vertices.filter("v IS NOT NULL").select("v", "sketch"), "v")
+    still = still.join(sizes, "key").join(vertices.filter("v IS NOT NULL").select("v", "sketch"), "v").join(sets, "v")
     down, inner = F.ceil(F.col("n_out") / TILE), F.ceil((F.col("n_all") - F.col("n_out")) / TILE)
     still = cut(still.withColumns({"down": down.cast("int"), "inner": inner.cast("int"), "out": outside, "deal": F.xxhash64("v")}))
     block = F.when(F.col("out"), F.pmod("deal", "down")).otherwise(F.col("down") + F.pmod("deal", "inner")).cast("int")
     still = still.withColumn("block", block)
-    one = still.filter("out").select("key", "v", "c", "sketch", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") + F.col("inner") - 1)).alias("j"))
-    other = still.select("key", "v", "c", "sketch", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.col("block").alias("j"))
+    one = still.filter("out").select("key", "v", "c", "sketch", "elements", F.lit(0).alias("side"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") + F.col("inner") - 1)).alias("j"))
+    other = still.select("key", "v", "c", "sketch", "elements", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.col("block").alias("j"))
     # five standard deviations of the estimate under the threshold
     least = threshold - 5 * math.sqrt(threshold * (1 - threshold) / (bands * band))
-    maybe = one.unionByName(other).groupBy("key", "i", "j").applyInPandas(_tile(least), "a bigint, b bigint").distinct()
-    labels = contracted(labels, verified(maybe, sets, threshold))
+    last = one.unionByName(other).groupBy("key", "i", "j").applyInPandas(_tile(least, threshold), "a bigint, b bigint")
+    labels = contracted(labels, last)
 
     names = vertices.select("digest", "v").join(labels, "v", "left").select("digest", F.coalesce("c", "v").alias("class_id"))
     return rows, cut(names)
