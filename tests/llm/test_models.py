@@ -5,11 +5,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textloom.llm import langid, packing, toxicity
+from textloom.llm.textvec import slices
 
 SF = "/root/testdata/sf0.01"
 
@@ -121,6 +123,24 @@ def unpacked(rows, tokenizer, texts, capacity):
     return len(places)
 
 
+def test_words_beyond_what_is_remembered(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    fast = packing.WordTokenizer(packing.tokenizer_path())
+    for start in (0, 40, 60, 0, 200):
+        texts = [" ".join(f"word{chr(97 + i % 26)}{i}" for i in range(start, start + n)) for n in (0, 3, 30, 120)]
+        for text, ids in zip(texts, fast(texts), strict=True):
+            assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_slices_cover_a_batch_in_order():
+    texts = ["a" * n for n in (0, 5, 300, 0, 7, 90)] + [None, "é" * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["v", "text"])
+    parts = list(slices(batch, 1, 100))
+    assert [x for part in parts for x in part.column(1).to_pylist()] == texts
+    assert [part.num_rows for part in parts] == [2, 1, 3, 2]
+    assert list(slices(batch.slice(0, 0), 1)) == []
+
+
 def test_packing_round_trip(spark, tokenizer):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

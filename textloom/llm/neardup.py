@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.textvec import SHINGLE, Words, chunks, mix, occurrences, shingles, texts_of, unit
+from textloom.llm.textvec import SHINGLE, Words, chunks, mix, occurrences, shingles, slices, texts_of, unit
 from textloom.session import cut, table
 
 BANDS, BAND = 40, 6
@@ -170,8 +170,9 @@ def _signed(signer: Callable[[list[str]], np.ndarray], bands: int, rows: int):
 def _sets(weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [multiset(t, weighted).tobytes() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.binary())], names=["v", "elements"])
+            for part in slices(batch, 1):
+                sets = [multiset(t, weighted).tobytes() for t in texts_of(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["v", "elements"])
 
     return run
 
@@ -180,10 +181,11 @@ def _similar(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
+            for part in slices(batch, 2):
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.sharding import hex_digits
-from textloom.llm.textvec import chunks, code_points, mix, powers, running, texts_of
+from textloom.llm.textvec import code_points, mix, powers, running, slices, texts_of
 from textloom.session import cut, table
 
 CAPACITY = 4096
@@ -41,9 +41,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Items shorter than this are first bundled with others of their length, which bounds the sweeps.
 BUNDLE = 128
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Code points tokenized at once.
-TOKENIZED = 1 << 20
+TOKENIZED = 1 << 18
 _PLAIN = 0x250
 _ODD = re.compile(r"['\x1c-\x1f]|<\||[^\x00-ɏ]")
 
@@ -82,8 +82,6 @@ class WordTokenizer:
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        if len(self.known) + len(hashes) > REMEMBERED:
-            self.known, self.at, self.ids = self.known[:0], np.zeros(1, np.int64), self.ids[:0]
         known = np.concatenate((self.known, hashes))
         length = np.concatenate((np.diff(self.at), [len(x) for x in found])).astype(np.int64)
         start = np.concatenate((self.at[:-1], len(self.ids) + np.cumsum([0, *map(len, found)][:-1]))).astype(np.int64)
@@ -123,11 +121,11 @@ class WordTokenizer:
         unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         new = np.flatnonzero(~np.isin(unique, self.known, assume_unique=True))
         if len(new):
+            if len(self.known) + len(new) > REMEMBERED:  # forget all but the words of this call
+                self.known, self.at, self.ids = self.known[:0], np.zeros(1, np.int64), self.ids[:0]
+                new = np.arange(len(unique))
             joined = "\n".join(lowered)
             self._learn(unique[new], [joined[begin[k] : stop[k]] for k in first[new]])
-            again = np.flatnonzero(~np.isin(unique, self.known, assume_unique=True))
-            if len(again):  # what was remembered has just been dropped
-                self._learn(unique[again], [joined[begin[k] : stop[k]] for k in first[again]])
         row = np.searchsorted(self.known, unique)[which]
         length = (self.at[row + 1] - self.at[row])
         ends = np.cumsum(length)
@@ -153,14 +151,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for a, z in chunks(texts, TOKENIZED):
+            for part in slices(batch, 1, TOKENIZED):
                 out: list[tuple] = []
-                for doc_id, tokens in zip(ids[a:z], encode(texts[a:z]), strict=True):
+                for doc_id, tokens in zip(part.column(0).to_pylist(), encode(texts_of(part.column(1))), strict=True):
                     raw = tokens.astype("<u4")
                     for k, at in enumerate(range(0, len(raw), capacity)):
-                        part = raw[at : at + capacity]
-                        out.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
+                        piece = raw[at : at + capacity]
+                        out.append((doc_id, k, at, len(piece), zlib.crc32(piece.tobytes())))
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]],

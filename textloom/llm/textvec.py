@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points handled at once; longer single texts form a chunk of their own.
 CHUNK = 1 << 18
@@ -67,6 +69,20 @@ def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in ``column`` take about ``size`` bytes; a longer one is a slice of its own.
+
+    Python objects are then made for a slice at a time, not for the whole batch.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(ends):
+        reach = (ends[start - 1] if start else 0) + size
+        stop = max(start + 1, int(np.searchsorted(ends, reach, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points, a line feed after each text, and where each text starts (one more than texts)."""
     joined = "\n".join(texts) + "\n"
