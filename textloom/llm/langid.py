@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from textloom.llm.textvec import Lookup, Words, chunks, texts_of
+from textloom.llm.textvec import Lookup, Words, chunks, slices, texts_of
 from textloom.session import table
 
 SAMPLE_DOCS = 6_000
@@ -53,7 +53,7 @@ def sampled(rows: DataFrame, label: str, key: Column, most: int) -> DataFrame:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0)):
         texts, langs = texts_of(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
         for a, z in chunks(texts):
             words = Words(texts[a:z], letters=True)
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place)):
             texts = texts_of(batch.column(place))
             pred, conf = [], []
             for a, z in chunks(texts):

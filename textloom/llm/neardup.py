@@ -37,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.textvec import SHINGLE, Words, chunks, mix, occurrences, shingles, slices, texts_of, unit
+from textloom.llm.textvec import SHINGLE, Words, mix, occurrences, shingles, slices, texts_of, unit
 from textloom.session import cut, table
 
 BANDS, BAND = 40, 6
 THRESHOLD = 0.8
-#: Code points signed at once; a text has about 1,800 darts however short it is.
+#: Bytes of text signed at once; a text has about 1,800 darts however short it is.
 SIGNED = 1 << 16
 #: Vertices of a bucket that one side of a tile holds on average.
 TILE = 256
@@ -143,22 +143,23 @@ def multiset(text: str, weighted: bool = True) -> np.ndarray:
 def _signed(signer: Callable[[list[str]], np.ndarray], bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least: dict[bytes, tuple[int | None, str]] = {}
-            for doc_id, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
+            least: dict[bytes, tuple[int | None, int]] = {}  # the row of the least id of each text
+            for row, (doc_id, digest) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 known = least.get(digest)
                 if known is None or (doc_id is not None and (known[0] is None or doc_id < known[0])):
-                    least[digest] = (doc_id, text)
-            digests, ids, texts = list(least), [x[0] for x in least.values()], [x[1] for x in least.values()]
-            for a, z in chunks(texts, SIGNED):
-                sig = signer(texts[a:z])
+                    least[digest] = (doc_id, row)
+            if len(least) < batch.num_rows:
+                batch = batch.take(pa.array([row for _, row in least.values()], pa.int64()))
+            for part in slices(batch, 2, SIGNED):
+                sig = signer(texts_of(part.column(2)))
                 keys = band_keys(sig, bands, rows).view(np.int64)
                 bare = ~sig.any(axis=1)
                 small = (sig.astype(np.uint64) & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(digests[a:z], pa.binary()),
-                        pa.array(ids[a:z], pa.int64()),
-                        pa.array([None if bare[i] else keys[i] for i in range(z - a)], pa.list_(pa.int64())),
+                        part.column(1),
+                        part.column(0),
+                        pa.array([None if bare[i] else keys[i] for i in range(len(sig))], pa.list_(pa.int64())),
                         pa.array([x.tobytes() for x in small], pa.binary()),
                     ],
                     names=["digest", "v", "keys", "sketch"],

@@ -180,7 +180,7 @@ def texts_of(column) -> list[str]:
 class Lookup:
     """Rows of a table by 64-bit hash; most misses are told by a bitmap."""
 
-    BITS = 22
+    BITS = 20
 
     def __init__(self, hashes: np.ndarray):
         self.order = np.argsort(hashes, kind="stable")
