@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop boilerplate lines of each source."""
-    return lines.line_dedup(docs, F.col("source"))
+    """Drop boilerplate lines of each source; copies are one page, so that the next stage finds a whole text to keep."""
+    return lines.line_dedup(docs, F.col("source"), copies_once=True, least=lines.LEAST_PAGES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,3 +202,18 @@ def test_pipeline_of_odd_rows(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "")
         assert (docs.count() > 0) == (start is odd)
+
+
+def test_copies_keep_one_whole_text(spark):
+    """A group of copies of a third of each source, a pair of copies in a small source, and a true boilerplate line."""
+    word = lambda *at: "w" + "x".join(map(str, at))
+    page = lambda *at: "\n".join(" ".join(word(*at, i, j) for j in range(9)) for i in range(4))
+    group, pair, common = page("group"), page("pair"), "all rights are reserved"
+    rows = [(i, f"s{i % 2}", group if i < 20 else f"{page(i)}\n{common}") for i in range(60)]
+    rows += [(100 + i, "small", pair if i < 2 else page("small", i)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("site_lines", "near_duplicates"):
+            docs = stage(spark, docs, "")
+    got = sorted(r.text for r in docs.collect())
+    assert got == sorted({group, pair, *(page(i) for i in range(20, 60)), *(page("small", i) for i in range(2, 12))})

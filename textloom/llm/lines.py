@@ -19,6 +19,8 @@ from textloom.session import cut, table
 
 RATIO = 0.1
 MIN_PAGES = 10
+#: Distinct pages that a line stands on at least before the pipeline drops it: two may be a page and its near copy.
+LEAST_PAGES = 3
 
 
 def host_of(url: Column) -> Column:
@@ -38,6 +40,8 @@ def line_dedup(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
     counts: bool = False,
+    copies_once: bool = False,
+    least: int = 1,
 ) -> DataFrame:
     """``docs`` without boilerplate lines, columns and rows as they were.
 
@@ -47,17 +51,24 @@ def line_dedup(
     its own. Null text: stays null, holds no line, its page counts. Repeated rows:
     each counts as a page. A page of boilerplate alone stays with an empty text.
     A ratio equal to the limit is kept. Empty table: no rows.
+
+    With ``copies_once``, pages of a host with the same lines count as one page, both
+    where a line's pages and where the host's are counted, so that copies do not make
+    each other's text boilerplate. A line on fewer than ``least`` pages stays. Near
+    copies count as separate pages.
     """
     key = F.coalesce(F.concat(F.lit("="), host), F.lit("null"))
     lines = F.split(F.col(text_col), "\n", -1)
     solid = F.filter(lines, lambda x: F.trim(x) != "")
     pages = docs.select(key.alias("host"), F.array_distinct(F.transform(solid, _key)).alias("lines"))
-    totals = docs.select(key.alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    if copies_once:
+        pages = pages.distinct()
+    totals = pages.select("host").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     held = (
         pages.select("host", F.explode("lines").alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= ratio * min_pages)
+        .filter((F.col("n") >= ratio * min_pages) & (F.col("n") >= least))
     )
     boilerplate = cut(
         held.join(totals, "host")
@@ -83,7 +94,7 @@ def line_dedup(
 
 
 def op9_site_lines(spark, sf_dir):
-    """Documents by their source, the only site they name."""
+    """Documents by their source, the only site they name; every row counts as a page, as in ``OP9_SQL``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup(docs, F.col("source"), counts=True)
 
