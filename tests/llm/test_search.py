@@ -176,6 +176,30 @@ def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
 
 
+def test_fingerprint_matches(spark):
+    """Against brute force on sets of shingles: unlike texts without words stay apart, repetition does not count."""
+    rows = edited_copies()
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", "!!!", "...", "!!!", None, " - ", "one two", "One, two!", "one two three"])]
+    repeated = " ".join(f"r{i}" for i in range(30))
+    rows += [(len(rows), repeated), (len(rows) + 1, f"{repeated} {repeated} {repeated} {repeated}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sorted((r.doc_id, r.class_id) for r in fingerprints.fingerprint_matches(df).collect())
+
+    def grams(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, label = [grams(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            same = (rows[i][1] or "") == (rows[j][1] or "")
+            if label[i] != label[j] and (same or (both and both >= 0.8 * len(sets[i] | sets[j]))):
+                low, high = sorted((label[i], label[j]))
+                label = [low if c == high else c for c in label]
+    assert got == list(enumerate(label))
+
+
 def covered(rows):
     words = {i: re.findall(r"[^\W_]+", t or "") for i, t in rows}
     where = defaultdict(set)

@@ -142,6 +142,7 @@ def multiset(text: str, weighted: bool = True) -> np.ndarray:
 
 def _signed(signer: Callable[[list[str]], np.ndarray], bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordless = signer([""])[0]  # what the signer gives a set without shingles
         for batch in batches:
             least: dict[bytes, tuple[int | None, int]] = {}  # the row of the least id of each text
             for row, (doc_id, digest) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -153,7 +154,7 @@ def _signed(signer: Callable[[list[str]], np.ndarray], bands: int, rows: int):
             for part in slices(batch, 2, SIGNED):
                 sig = signer(texts_of(part.column(2)))
                 keys = band_keys(sig, bands, rows).view(np.int64)
-                bare = ~sig.any(axis=1)
+                bare = (sig == wordless).all(axis=1)
                 small = (sig.astype(np.uint64) & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
