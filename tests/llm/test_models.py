@@ -1,16 +1,18 @@
 """Language ID, toxicity, packing and the pipeline: held-out accuracy, round trips and odd rows."""
 
+import bisect
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import langid, packing, toxicity
+from textloom.llm import langid, packing, toxicity, wordbpe
 from textloom.llm.textvec import slices
 
 SF = "/root/testdata/sf0.01"
@@ -99,7 +101,7 @@ def tokenizer():
 
 def test_ids_are_those_of_the_tokenizer(tokenizer):
     texts = ["it's the cat's", "a<|endoftext|>b", "Ünïcödé ²³ 12 3", "日本語 テスト", "", " ", "ΑΣ ς", "x\x1cy", "İstanbul ǅ ẞ", "a_b __ !!! 1234", "été"]
-    fast = packing.WordTokenizer(packing.tokenizer_path())
+    fast = wordbpe.WordTokenizer(packing.tokenizer_path())
     for _ in range(2):
         assert [list(x) for x in fast(texts)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
@@ -124,8 +126,8 @@ def unpacked(rows, tokenizer, texts, capacity):
 
 
 def test_words_beyond_what_is_remembered(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 50)
-    fast = packing.WordTokenizer(packing.tokenizer_path())
+    monkeypatch.setattr(wordbpe, "REMEMBERED", 50)
+    fast = wordbpe.WordTokenizer(packing.tokenizer_path())
     for start in (0, 40, 60, 0, 200):
         texts = [" ".join(f"word{chr(97 + i % 26)}{i}" for i in range(start, start + n)) for n in (0, 3, 30, 120)]
         for text, ids in zip(texts, fast(texts), strict=True):
@@ -158,14 +160,29 @@ def test_packing_of_odd_rows(odd, empty, odd_rows, tokenizer):
     assert packing.pack(empty, packing.tokenizer_path()).count() == 0
 
 
-def test_best_fit_places_every_item_once():
+def plain_best_fit(lengths, capacity=4096):
+    """Sequences that best fit opens, one item at a time, the longest first."""
+    gaps, opened = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, length)
+        if at == len(gaps):
+            opened += 1
+            size = capacity
+        else:
+            size = gaps.pop(at)
+        if size > length:
+            bisect.insort(gaps, size - length)
+    return opened
+
+
+def test_best_fit_places_every_item_once(spark):
     rng = random.Random(1)
     for n in (1, 40, 4000):
         histogram = defaultdict(int)
         for _ in range(n):
             histogram[rng.choice([rng.randrange(1, 4096), rng.randrange(1, 20), 1])] += 1
         seen, load = defaultdict(list), defaultdict(list)
-        for length, first, count, sequence, offset, step in packing.best_fit(dict(histogram)):
+        for length, first, count, sequence, offset, step in packing.best_fit(spark, dict(histogram)):
             for i in range(count):
                 seen[length].append(first + i)
                 load[sequence + i // step].append((offset + i % step * length, length))
@@ -175,6 +192,23 @@ def test_best_fit_places_every_item_once():
             assert all(a[0] + a[1] == b[0] for a, b in zip(found, found[1:], strict=False)) and found[0][0] == 0
             assert sum(x for _, x in found) <= 4096
         assert len(load) <= 1 + 1.02 * sum(k * v for k, v in histogram.items()) / 4096
+        assert len(load) <= 1 + 1.01 * plain_best_fit([k for k, v in histogram.items() for _ in range(v)])
+
+
+def test_sweeps_by_range_match_one_sweep(spark):
+    """Dealt out by ranges, a sweep gives every item the gap that one sweep over all sizes gives it."""
+    rng = random.Random(2)
+    items = [[size, 0, rng.randrange(1, 9)] for size in rng.sample(range(1, 4097), 300)]
+    gaps = [[size, 100 * i, rng.randrange(1, 9)] for i, size in enumerate(rng.sample(range(1, 4097), 300))]
+    want, _, _ = packing.sweep([list(x) for x in items], [list(x) for x in gaps])
+    rows = [(packing.ITEM, *x, 0, 0, False) for x in items] + [(packing.GAP, *x, 0, 0, False) for x in gaps]
+    lots = pd.DataFrame(rows, columns=packing._COLUMNS)
+    width = -(-4097 // packing.RANGES)
+    swept = pd.concat([packing._swept(part) for _, part in lots.groupby(lots["size"] // width)])
+    ended = packing._round_end(4096)(swept)
+    got = ended[ended["kind"] == packing.PLACED][["size", "first", "n", "sequence", "gap"]].to_numpy().tolist()
+    each = lambda placed: sorted((size, first + i, sequence + i, gap) for size, first, n, sequence, gap in placed for i in range(n))
+    assert each(got) == each(want)
 
 
 def test_pipeline(spark, odd, tmp_path):

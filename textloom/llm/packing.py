@@ -3,49 +3,46 @@
 Documents longer than a sequence are cut into whole sequences and a last piece.
 The last pieces and the shorter documents are packed by bulk-synchronous best fit:
 
-1. items and gaps (the free ends of sequences) are sorted by size;
-2. a successor sweep from the largest size down offers every item the smallest
-   free gap it fits in; where items of a size compete, their rank decides;
-3. gaps are updated, and the sweep repeats until no item fits a gap; new
+1. items and gaps (the free ends of sequences) are dealt out by ranges of size;
+2. in every range, at the same time, a successor sweep from the largest size down
+   offers each item the smallest free gap it fits in; where items of a size compete
+   for gaps, their rank decides. What a range could not match (items that need the
+   gap of a larger range, gaps that no item of the range took) meets in a last sweep;
+3. gaps are updated, and the sweeps repeat until no item fits a gap; then new
    sequences are opened for what is left.
 
 A length is an integer of at most ``capacity``, so items of equal length, like
-gaps of equal size, are interchangeable. A sweep therefore runs over classes
-(size, how many) rather than rows: one small table of at most ``capacity`` rows,
-however large the corpus. Its result is a list of runs "items number r to r+n of
-length L go to sequences s to s+n at offset o", also of bounded size. What grows
-with the corpus stays distributed: tokenizing, numbering the items of each length
-(by hash buckets, no length's items meet in one task) and the join with the runs.
+gaps of equal size, are interchangeable: the rows of a sweep are lots (size, first
+rank, how many), a few for each size however large the corpus. The rest stays by
+row: tokenizing, ranking the items of each length (by hash buckets, no length's
+items meet in one task) and the join with the places found.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.sharding import hex_digits
-from textloom.llm.textvec import code_points, mix, powers, running, slices, texts_of
-from textloom.session import cut, table
+from textloom.llm.textvec import release, slices, texts_of
+from textloom.llm.wordbpe import WordTokenizer
+from textloom.session import cut, discard, table
 
 CAPACITY = 4096
-END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Items shorter than this are first bundled with others of their length, which bounds the sweeps.
 BUNDLE = 128
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 150_000
-#: Code points tokenized at once.
+#: Bytes of text tokenized at once.
 TOKENIZED = 1 << 18
-_PLAIN = 0x250
-_ODD = re.compile(r"['\x1c-\x1f]|<\||[^\x00-ɏ]")
+#: Ranges of sizes that are swept at the same time.
+RANGES = 8
+#: Rounds of sweeps in one Spark job.
+ROUNDS = 4
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -54,102 +51,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokenizer:
-    """Ids of whole texts, found word by word.
-
-    The tokenizer splits a lower-cased text into words before it merges anything,
-    so a word's ids can be remembered. Texts whose words this class might split
-    otherwise than the tokenizer (apostrophes, special tokens, characters beyond
-    Latin) are handed to the tokenizer whole.
-    """
-
-    def __init__(self, path: str, end: int = END):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        kinds = np.zeros(_PLAIN, np.int8)  # 0 space, 1 letter, 2 number, 3 other
-        for c in range(_PLAIN):
-            category = unicodedata.category(chr(c))
-            kinds[c] = 0 if chr(c).isspace() else 1 if category[0] == "L" else 2 if category[0] == "N" else 3
-        self.kinds = kinds
-
-    def _whole(self, text: str) -> np.ndarray:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array([*ids, self.end], np.uint32)
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        known = np.concatenate((self.known, hashes))
-        length = np.concatenate((np.diff(self.at), [len(x) for x in found])).astype(np.int64)
-        start = np.concatenate((self.at[:-1], len(self.ids) + np.cumsum([0, *map(len, found)][:-1]))).astype(np.int64)
-        flat = np.concatenate((self.ids, *found))
-        order = np.argsort(known, kind="stable")
-        self.known, length, start = known[order], length[order], start[order]
-        self.at = np.concatenate(([0], np.cumsum(length)))
-        self.ids = flat[np.repeat(start - self.at[:-1], length) + np.arange(self.at[-1])]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's ids with the end id."""
-        texts = [unicodedata.normalize("NFC", t) for t in texts]
-        plain = [i for i, t in enumerate(texts) if not _ODD.search(t)]
-        out: list = [None] * len(texts)
-        for i in set(range(len(texts))) - set(plain):
-            out[i] = self._whole(texts[i])
-        if not plain:
-            return out
-        lowered = [texts[i].lower() for i in plain]
-        if any(len(t) != len(texts[i]) or _ODD.search(t) for t, i in zip(lowered, plain, strict=True)):
-            # a letter whose lower case is none of the plain ones
-            for k, i in enumerate(plain):
-                if len(lowered[k]) != len(texts[i]) or _ODD.search(lowered[k]):
-                    out[i] = self._whole(texts[i])
-            lowered, plain = zip(*[(t, i) for t, i in zip(lowered, plain, strict=True) if out[i] is None], strict=True) if any(out[i] is None for i in plain) else ((), ())
-            if not plain:
-                return out
-        points, starts = code_points(list(lowered))
-        kind = self.kinds[points]
-        before = np.concatenate(([0], kind[:-1]))
-        begin = np.flatnonzero((kind > 0) & ((kind != before) | (kind == 2)))
-        after = np.concatenate((kind[1:], [0]))
-        stop = np.flatnonzero((kind > 0) & ((kind != after) | (kind == 2))) + 1
-        sums = running(points)
-        _, down = powers(len(points) + 1)
-        hashes = mix((sums[stop] - sums[begin]) * down[begin])
-        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        new = np.flatnonzero(~np.isin(unique, self.known, assume_unique=True))
-        if len(new):
-            if len(self.known) + len(new) > REMEMBERED:  # forget all but the words of this call
-                self.known, self.at, self.ids = self.known[:0], np.zeros(1, np.int64), self.ids[:0]
-                new = np.arange(len(unique))
-            joined = "\n".join(lowered)
-            self._learn(unique[new], [joined[begin[k] : stop[k]] for k in first[new]])
-        row = np.searchsorted(self.known, unique)[which]
-        length = (self.at[row + 1] - self.at[row])
-        ends = np.cumsum(length)
-        flat = self.ids[np.repeat(self.at[row] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
-        of_doc = np.concatenate(([0], ends))[np.searchsorted(begin, starts)]
-        for k, i in enumerate(plain):
-            out[i] = np.append(flat[of_doc[k] : of_doc[k + 1]], np.uint32(self.end))
-        return out
-
-
-_loaded: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (tells repeated ids apart), piece, start, length, ids_crc32 of every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(path)
+        encode = WordTokenizer(path)
         for batch in batches:
             for part in slices(batch, 1, TOKENIZED):
                 out: list[tuple] = []
@@ -163,6 +69,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
                     [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        del encode
+        release()
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -196,45 +104,91 @@ def sweep(items: list[list[int]], gaps: list[list[int]]) -> tuple[list, list, li
     return placed, left, stack + gaps
 
 
-def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+#: A lot of items, of gaps, or of items placed in gaps; the last kind counts the sequences opened so far.
+ITEM, GAP, PLACED, OPENED = range(4)
+_LOT = "kind int, size bigint, first bigint, n bigint, sequence bigint, gap bigint, fresh boolean"
+_COLUMNS = [x.split()[0] for x in _LOT.split(", ")]
+
+
+def _swept(lots: pd.DataFrame) -> pd.DataFrame:
+    """The lots of a range (or what all ranges left) after one sweep; placed lots of this round are fresh."""
+    waiting = lots["kind"] <= GAP
+    items = lots[lots["kind"] == ITEM][["size", "first", "n"]].to_numpy().tolist()
+    gaps = lots[lots["kind"] == GAP][["size", "first", "n"]].to_numpy().tolist()
+    placed, items, gaps = sweep(items, gaps)
+    rows = [(ITEM, *x, 0, 0, False) for x in items] + [(GAP, *x, 0, 0, False) for x in gaps]
+    rows += [(PLACED, *x, True) for x in placed]
+    return pd.concat([lots[~waiting][_COLUMNS], pd.DataFrame(rows, columns=_COLUMNS)])
+
+
+def _round_end(capacity: int):
+    def run(lots: pd.DataFrame) -> pd.DataFrame:
+        """Match what the ranges left, cut the taken gaps, open new sequences if nothing was placed."""
+        lots = _swept(lots)
+        opened = int(lots[lots["kind"] == OPENED]["n"].sum())
+        fresh = lots[lots["fresh"]]
+        items = lots[lots["kind"] == ITEM]
+        rows = []
+        if len(fresh):
+            over = fresh[fresh["gap"] > fresh["size"]]
+            rows = [(GAP, gap - size, sequence, n, 0, 0, False) for size, n, sequence, gap in over[["size", "n", "sequence", "gap"]].to_numpy().tolist()]
+        elif len(items):
+            more = max(1, -(-int((items["size"] * items["n"]).sum()) // capacity))
+            rows = [(GAP, capacity, opened, more, 0, 0, False)]
+            opened += more
+        kept = lots[lots["kind"] != OPENED].assign(fresh=False)
+        rows.append((OPENED, 0, 0, opened, 0, 0, False))
+        return pd.concat([kept[_COLUMNS], pd.DataFrame(rows, columns=_COLUMNS)])
+
+    return run
+
+
+def placed_lots(spark: SparkSession, items: list[list[int]], capacity: int = CAPACITY) -> list[list[int]]:
+    """Places of all items: [size, first number, count, first sequence, gap] for each lot; see the module.
+
+    items: one lot [size, first number, count] for each size. Only whether items
+    wait reaches the driver between jobs.
+    """
+    if not items:
+        return []
+    rows = [(ITEM, *x, 0, 0, False) for x in items]
+    lots = spark.createDataFrame(pd.DataFrame(rows, columns=_COLUMNS), _LOT)
+    width = F.lit(-(-(capacity + 1) // RANGES))
+    # what is placed already only passes through, by any range
+    of = F.when(F.col("kind") <= GAP, F.floor(F.col("size") / width)).otherwise(F.pmod("first", F.lit(RANGES)))
+    done = []
+    while True:
+        for _ in range(ROUNDS):
+            swept = lots.withColumn("range", of).groupBy("range").applyInPandas(_swept, _LOT)
+            lots = swept.groupBy(F.lit(0).alias("all")).applyInPandas(_round_end(capacity), _LOT)
+        lots = cut(lots)
+        done.append(lots)
+        if lots.filter(F.col("kind") == ITEM).isEmpty():
+            break
+        lots = lots.filter(F.col("kind") != PLACED)
+    placed = [lots.filter(F.col("kind") == PLACED).select("size", "first", "n", "sequence", "gap").toPandas() for lots in done]
+    discard(*done)
+    return pd.concat(placed).to_numpy().tolist()
+
+
+def best_fit(spark: SparkSession, histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """Runs (length, first number, count, first sequence, offset, step) placing every item.
 
     ``step`` items of a run follow one another in each sequence (bundles of short
     items). Bounded by the number of lengths, not of items.
     """
-    bundles: list[list[int]] = []  # [size, first number, count]; unlike lengths may share a size
-    of: dict[tuple[int, int], int] = {}
+    # one class for each size: (length, step, first number, bundles) side by side in a list of numbers
+    classes: dict[int, list[tuple[int, int, int, int]]] = {}
     for length, count in histogram.items():
         n = max(1, min(BUNDLE, capacity // 2) // length)
-        whole = count // n
-        if n > 1 and whole:
-            of[length, n] = whole * n
-        else:
-            whole, n = 0, 1
-        bundles += [[length, 0, 0, n, whole]] if whole else []
+        whole = count // n if n > 1 else 0
         rest = count - whole * n
+        if whole:
+            classes.setdefault(length * n, []).append((length, n, 0, whole))
         if rest:
-            bundles.append([length, whole * n, rest, 1, rest])
-    # one class for each size: (length, step) classes side by side in a list of numbers
-    classes: dict[int, list[list[int]]] = {}
-    for length, first, _, n, count in bundles:
-        classes.setdefault(length * n, []).append([length, n, first, count])
-    items = [[size, 0, sum(x[3] for x in found)] for size, found in classes.items()]
-    gaps: list[list[int]] = []
-    placed: list[list[int]] = []
-    opened = 0
-    while items:
-        new, items, gaps = sweep(items, gaps)
-        placed += new
-        if new:
-            gaps += [[size - length, sequence, n] for length, _, n, sequence, size in new if size > length]
-        else:
-            waiting = sum(size * count for size, _, count in items)
-            more = max(1, -(-waiting // capacity))
-            gaps.append([capacity, opened, more])
-            opened += more
+            classes.setdefault(length, []).append((length, 1, whole * n, rest))
     runs = []
-    for size, number, n, sequence, gap in placed:
+    for size, number, n, sequence, gap in placed_lots(spark, [[size, 0, sum(x[3] for x in found)] for size, found in classes.items()], capacity):
         at = 0
         for length, step, first, count in classes[size]:
             low, high = max(number, at), min(number + n, at + count)
@@ -256,7 +210,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     # at most ``capacity`` rows
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     full = histogram.pop(capacity, 0)
-    runs = best_fit(histogram, capacity)
+    runs = best_fit(spark, histogram, capacity)
     if full:
         sequences = max([s + -(-n // step) for _, _, n, s, _, step in runs], default=0)
         runs.append((capacity, 0, full, sequences, 0, 1))

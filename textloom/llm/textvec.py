@@ -7,6 +7,7 @@ off one running sum, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -83,6 +84,18 @@ def slices(batch: pa.RecordBatch, column: int, size: int = CHUNK) -> Iterator[pa
         start = stop
 
 
+def one_of_each(batch: pa.RecordBatch, key: int, least: int) -> pa.RecordBatch:
+    """The batch with one row of each value in column ``key``: that of the least value in ``least``, nulls last."""
+    best: dict[int, tuple[int | None, int]] = {}
+    for row, (k, x) in enumerate(zip(batch.column(key).to_pylist(), batch.column(least).to_pylist(), strict=True)):
+        known = best.get(k)
+        if known is None or (x is not None and (known[0] is None or x < known[0])):
+            best[k] = (x, row)
+    if len(best) == batch.num_rows:
+        return batch
+    return batch.take(pa.array([row for _, row in best.values()], pa.int64()))
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points, a line feed after each text, and where each text starts (one more than texts)."""
     joined = "\n".join(texts) + "\n"
@@ -200,3 +213,12 @@ class Lookup:
         at = np.minimum(np.searchsorted(self.sorted, wanted), len(self.sorted) - 1)
         hit = self.sorted[at] == wanted
         return maybe[hit], self.order[at[hit]]
+
+
+def release() -> None:
+    """Hand freed memory back to the system, so that an idle Python worker keeps little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
