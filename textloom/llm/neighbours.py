@@ -59,8 +59,8 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     scores = np.empty(len(rows))
     for a in range(0, len(rows), PAIRS):
         part = slice(a, a + PAIRS)
-        # each row is summed by itself, in one order, so equal vectors have equal scores
-        scores[part] = (q[rows[part]] * c[cols[part]]).sum(axis=1)
+        # each row is summed by itself, from the first component to the last, so equal vectors have equal scores
+        scores[part] = np.cumsum(q[rows[part]] * c[cols[part]], axis=1)[:, -1]
     order = np.lexsort((c_ids[cols], -scores, rows))
     rows, cols, scores = rows[order], cols[order], scores[order]
     begin = np.searchsorted(rows, np.arange(len(q_ids)))
@@ -150,3 +150,19 @@ def search(
 
 def op1_block_matrix_search(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+OP1_SQL = f"""
+WITH rows AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+), usable AS (
+  SELECT vec_id, e FROM rows
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= {K}
+"""

@@ -7,9 +7,9 @@ from textloom.llm.langid import op7_language_id
 from textloom.llm.lines import OP9_SQL, op9_site_lines
 from textloom.llm.mixing import OP3_SQL, op3_temperature_mixing
 from textloom.llm.neardup import op2_dart_minhash
-from textloom.llm.neighbours import op1_block_matrix_search
+from textloom.llm.neighbours import OP1_SQL, op1_block_matrix_search
 from textloom.llm.packing import op5_best_fit_packing
-from textloom.llm.sharding import op4_stratified_shards
+from textloom.llm.sharding import OP4_SQL, op4_stratified_shards
 from textloom.llm.suffixes import op6_suffix_passages
 from textloom.llm.toxicity import op10_toxicity
 
@@ -30,4 +30,9 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_temperature_mixing": OP3_SQL, "op9_site_lines": OP9_SQL}
+    return {
+        "op1_block_matrix_search": OP1_SQL,
+        "op3_temperature_mixing": OP3_SQL,
+        "op4_stratified_shards": OP4_SQL,
+        "op9_site_lines": OP9_SQL,
+    }

@@ -48,7 +48,9 @@ def interleaved(rows: DataFrame, n_rows: int, seed: str = SEED) -> DataFrame:
     Rows alike in all four columns are interchangeable.
     """
     digits = hex_digits(n_rows)
-    keyed = rows.withColumn("order", seeded(seed, F.col("doc_id"))).withColumn("part", F.substring("order", 1, digits))
+    # rows without an id are told apart by their texts
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.col("text_crc32"), F.lit("-"), F.col("size")))
+    keyed = rows.withColumn("order", seeded(seed, key)).withColumn("part", F.substring("order", 1, digits))
     by = Window.partitionBy("stratum").orderBy("part")
     offsets = (
         keyed.groupBy("stratum", "part")
@@ -83,7 +85,7 @@ def shard(
     slot (gapless from 0 in each shard) and grown_shard (null under this law).
 
     Null source: a source of its own. Null text: no bytes, crc32 of nothing (0).
-    Null doc_id: ordered after all others under one hash. Repeated rows: each is
+    Null doc_id: ordered by a hash of the text's size and crc32. Repeated rows: each is
     placed. Ties in fractional rank: by source, then hash, then doc_id. Empty
     table: no rows. Other columns of ``docs`` are not looked at.
     """
@@ -133,3 +135,31 @@ def shard(
 
 def op4_stratified_shards(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"))
+
+
+#: crc32 is written out with its table (the reversed polynomial 0xEDB88320).
+OP4_SQL = f"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+), rows AS (
+  SELECT doc_id, coalesce('=' || source, 'null') AS stratum, strlen(coalesce(text, ''))::BIGINT + 8 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT,
+          list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM documents, crc
+), hashed AS (
+  SELECT *, md5('{SEED}|' || coalesce(doc_id::VARCHAR, 't' || text_crc32 || '-' || size)) AS h FROM rows
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 0.5::DOUBLE)
+    / count(*) OVER (PARTITION BY stratum) AS frac FROM hashed
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY frac, stratum, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM ranked
+), cuts AS (
+  SELECT *, ((pos * {SHARDS}) // n)::INTEGER AS shard FROM placed
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, (pos - (shard * n + {SHARDS} - 1) // {SHARDS})::BIGINT AS slot,
+  NULL::INTEGER AS grown_shard FROM cuts
+"""
