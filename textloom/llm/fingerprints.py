@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.textvec import SHINGLE, Words, chunks, shingles, texts_of
+from textloom.llm.textvec import SHINGLE, Words, chunks, release, shingles, texts_of
 from textloom.session import cut, table
 
 PERMUTATIONS = 128
@@ -114,6 +114,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
     if carried is not None:
         yield edge("last", carried[0], carried[1])
+    release()
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,12 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def fingerprint_matches(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id): documents joined by bands of their signatures, Jaccard verified on the shingle sets."""
+    """(doc_id, class_id): documents joined by bands of their signatures, Jaccard verified on the shingle sets.
+
+    Odd rows are as in ``near_duplicates``: texts without words are like equal ones
+    only, null text is empty, rows without an id take part, repeated rows each have a
+    row, rows that share an id have the class of their own text. Empty table: no rows.
+    """
     from textloom.llm.neardup import near_duplicates
 
     # 32 bands of 4 components: a pair at 0.8 shares none once in 20 million

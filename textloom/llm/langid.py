@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from textloom.llm.textvec import Lookup, Words, chunks, slices, texts_of
+from textloom.llm.textvec import Lookup, Words, chunks, release, slices, texts_of
 from textloom.session import table
 
 SAMPLE_DOCS = 6_000
@@ -79,6 +79,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                             ],
                             names=["lang", "n", "hash", "count"],
                         )
+    release()
 
 
 class Model:
@@ -170,20 +171,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Null text or one without a letter: ``und``, score 0. Letters of which nothing
     is known: the first language in order, all being equally likely. Ties: the
-    first language in order. Repeated rows: each is scored.
+    first language in order. Texts of any length: scored whole. Repeated rows and
+    rows without an id: each is scored. Empty table: no rows. A model without
+    languages: ``und`` for every row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.drop("lang_pred", "score")
     schema = StructType([*out.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     place = out.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in (part for whole in batches for part in slices(whole, place)):
             texts = texts_of(batch.column(place))
             pred, conf = [], []
             for a, z in chunks(texts):
-                total, seen = m.scores(texts[a:z]) if m.langs else (None, None)
+                total, seen = model.scores(texts[a:z]) if model.langs else (None, None)
                 for i, text in enumerate(texts[a:z]):
                     if total is None or not any(c.isalpha() for c in text):
                         pred.append(UNKNOWN)
@@ -191,12 +192,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         continue
                     x = total[i] * (min(seen[i], EVIDENCE) / max(seen[i], 1.0))
                     best = int(np.argmax(x))
-                    pred.append(m.langs[best])
+                    pred.append(model.langs[best])
                     conf.append(float(1.0 / np.exp(x - x[best]).sum()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],
             )
+        release()
 
     return out.mapInArrow(score, schema)
 

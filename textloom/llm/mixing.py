@@ -151,7 +151,13 @@ def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", source_col: s
 
 
 def mixed_blocks(docs: DataFrame, seed: str = SEED, **target) -> DataFrame:
-    """The mixture as rows: doc_id, source, tokens, block, and the tokens of the block up to the row's end."""
+    """The mixture as rows: doc_id, source, tokens, block, and the tokens of the block up to the row's end.
+
+    Null source: a source of its own. Null or blank text: no tokens; a source without
+    tokens is read once. Null doc_id: the hash of no key. Repeated rows and rows that
+    share an id: appear together, and each counts the tokens of all of them. Texts of
+    any length: counted whole. Empty table: no rows.
+    """
     rows, plan = mix_plan(docs, seed=seed, **target)
     n_rows = rows.count()
     each = (
