@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from brute import classes
 
 from textloom.llm import fingerprints, neardup, neighbours, suffixes
 from textloom.llm.textvec import Lookup, Words, shingles
@@ -115,32 +116,6 @@ def test_darts_estimate_weighted_jaccard(kind):
     assert abs((sig[0] == sig[1]).mean() - truth) < 0.05
 
 
-def classes(rows, threshold=0.8):
-    def grams(t):
-        w = re.findall(r"[^\W_]+", (t or "").lower())
-        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
-
-    sets = [grams(t) for _, t in rows]
-    up = list(range(len(rows)))
-
-    def top(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            both = sum((sets[i] & sets[j]).values())
-            union = sum((sets[i] | sets[j]).values())
-            if (rows[i][1] or "") == (rows[j][1] or "") or (union and both / union >= threshold):
-                up[top(i)] = top(j)
-    least = {}
-    for i, (doc_id, _) in enumerate(rows):
-        if doc_id is not None:
-            least[top(i)] = min(least.get(top(i), doc_id), doc_id)
-    return sorted((str(doc_id), str(least.get(top(i)))) for i, (doc_id, _) in enumerate(rows))
-
-
 def edited_copies(seed=2):
     rng = random.Random(seed)
     rows = []
@@ -167,6 +142,37 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     assert kept == sorted({int(c) for _, c in got})
 
 
+def without_ids(seed=6):
+    """Near copies among rows without an id, and ids that name several unlike texts."""
+    rng = random.Random(seed)
+    rows = []
+    for base in range(5):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for k in range(8):
+            copy = list(words)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(100)] = f"e{rng.randrange(10**6)}"
+            doc_id = None if base == 0 or k % 3 == 0 else 100 * base + k if k % 2 else 7
+            rows.append((doc_id, " ".join(copy)))
+    return [*rows, (5, rows[8][1]), (5, rows[-1][1]), (3, rows[-1][1]), (3, "!!!"), (None, "..."), (2, "!!!"), (2, ""), (None, None)]
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_near_duplicates_without_ids_match_brute_force(spark, weighted):
+    rows = without_ids()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = neardup.near_duplicates(df) if weighted else fingerprints.fingerprint_matches(df)
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in found.collect())
+    assert got == classes(rows)
+    if weighted:
+        # one text of every class stays, whatever ids its rows share
+        texts = [r.text or "" for r in neardup.drop_near_duplicates(df).collect()]
+        numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+        of_row = {i: c for i, c in classes(numbered)}
+        of_text = {(t or ""): of_row[str(i)] for i, t in numbered}
+        assert sorted(of_text[t] for t in texts) == sorted(set(of_row.values()))
+
+
 def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     got = sorted((str(r.doc_id), str(r.class_id)) for r in neardup.near_duplicates(odd).collect())
     assert got == classes([(r[0], r[1]) for r in odd_rows])
@@ -235,6 +241,28 @@ def test_passages_match_brute_force(spark, monkeypatch):
     assert all((mark[i] == want[i]).all() for i in want)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 2_000])
+def test_competing_neighbours_lose_no_word(spark, monkeypatch, hot):
+    """Variants of a template: whoever shares most on one side shares least on the other; some rows have no id or share one."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(160)]
+    texts = []
+    for k in range(120):
+        a = rng.randrange(0, 100)
+        b = a + rng.randrange(40, 75)
+        words = [f"x{rng.randrange(10**7)}" for _ in range(rng.randrange(0, 30))] + base[a:b] + [f"y{rng.randrange(10**7)}" for _ in range(30)]
+        if k % 4 == 0:
+            words[len(words) // 2] = f"z{k}"
+        texts.append(" ".join(words))
+    ids = [None if k % 7 == 0 else 500 if k % 11 == 0 else k for k in range(120)]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string").repartition(5)
+    want = covered(list(enumerate(texts)))
+    expected = Counter((i, k) for i, mark in zip(ids, want.values(), strict=True) if i is not None for k in np.flatnonzero(mark))
+    got = Counter((r.doc_id, k) for r in suffixes.repeated_passages(df).collect() for k in range(r.start_word, r.end_word))
+    assert got == expected and len(got) > 2_000
+
+
 def test_passages_of_odd_rows(odd, empty):
     got = {(r.doc_id, r.start_word, r.end_word, r.copies) for r in suffixes.repeated_passages(odd).collect()}
     assert got == {(4, 0, 80, 3), (5, 0, 80, 3), (6, 0, 80, 3)}

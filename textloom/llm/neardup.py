@@ -12,7 +12,7 @@ work is about one dart for each element and each coordinate rather than their pr
 Bands of coordinates become keys. Texts that share a key are compared without ever
 forming all pairs of a bucket:
 
-1. equal texts are one vertex from the start;
+1. equal texts are one vertex from the start, named by their digest, not by an id;
 2. each vertex is verified against the first hub of its buckets, which joins a large
    group of copies with one comparison each;
 3. in buckets that still hold several components, every vertex is verified against
@@ -33,12 +33,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.textvec import SHINGLE, Words, mix, occurrences, shingles, slices, texts_of, unit
-from textloom.session import cut, table
+from textloom.llm.pick import pick
+from textloom.llm.textvec import SHINGLE, Words, mix, occurrences, one_of_each, release, shingles, slices, texts_of, unit
+from textloom.session import cut, discard, table
 
 BANDS, BAND = 40, 6
 THRESHOLD = 0.8
@@ -143,14 +144,8 @@ def multiset(text: str, weighted: bool = True) -> np.ndarray:
 def _signed(signer: Callable[[list[str]], np.ndarray], bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wordless = signer([""])[0]  # what the signer gives a set without shingles
-        for batch in batches:
-            least: dict[bytes, tuple[int | None, int]] = {}  # the row of the least id of each text
-            for row, (doc_id, digest) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                known = least.get(digest)
-                if known is None or (doc_id is not None and (known[0] is None or doc_id < known[0])):
-                    least[digest] = (doc_id, row)
-            if len(least) < batch.num_rows:
-                batch = batch.take(pa.array([row for _, row in least.values()], pa.int64()))
+        for whole in batches:
+            batch = one_of_each(whole, 1, 0)
             for part in slices(batch, 2, SIGNED):
                 sig = signer(texts_of(part.column(2)))
                 keys = band_keys(sig, bands, rows).view(np.int64)
@@ -163,8 +158,9 @@ def _signed(signer: Callable[[list[str]], np.ndarray], bands: int, rows: int):
                         pa.array([None if bare[i] else keys[i] for i in range(len(sig))], pa.list_(pa.int64())),
                         pa.array([x.tobytes() for x in small], pa.binary()),
                     ],
-                    names=["digest", "v", "keys", "sketch"],
+                    names=["v", "rep", "keys", "sketch"],
                 )
+        release()
 
     return run
 
@@ -175,6 +171,7 @@ def _sets(weighted: bool):
             for part in slices(batch, 1):
                 sets = [multiset(t, weighted).tobytes() for t in texts_of(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["v", "elements"])
+        release()
 
     return run
 
@@ -251,36 +248,38 @@ def near_duplicates(
 
     A class is named by its least doc_id. Words are compared without case and
     punctuation. Null text: empty. Texts without a word: only like equal texts. Fewer
-    than five words: one shingle of them all. Null doc_id: takes part; if all rows of
-    a text are so, the text is a class of its own with a null name. Repeated rows:
-    each has a row. Empty table: no rows. A repeated id with unlike texts: the id's
-    texts are linked through it.
+    than five words: one shingle of them all. Null doc_id: takes part like any other;
+    a class of such rows alone has a null name. A repeated id with unlike texts: each
+    row has the class of its own text. Repeated rows: each has a row. Empty table: no
+    rows.
     """
     rows, names = _named(docs, threshold, signer, bands, band, weighted, id_col, text_col)
-    return rows.select("doc_id", "digest").join(names, "digest").select("doc_id", "class_id")
+    return rows.select("doc_id", "v").join(names.select("v", "class_id"), "v").select("doc_id", "class_id")
+
+
+def _vertex(text) -> Column:
+    """The vertex of a text: 64 bits of its digest, so that rows need no ids to take part."""
+    return F.xxhash64(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def _rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), _vertex(F.col(text_col)).alias("v"), text.alias("text"))
 
 
 def _named(docs, threshold, signer, bands, band, weighted, id_col, text_col) -> tuple[DataFrame, DataFrame]:
-    """(rows, names): doc_id, digest and text of every row, and the class of every digest."""
+    """(rows, names): doc_id, v and text of every row; v, its component c and class_id of every vertex."""
     rows = _rows(docs, id_col, text_col)
-    signed = rows.mapInArrow(_signed(signer, bands, band), "digest binary, v bigint, keys array<bigint>, sketch binary")
-    vertices = cut(
-        signed.groupBy("digest").agg(F.min("v").alias("v"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch"))
-    )
-    held = vertices.filter("v IS NOT NULL AND keys IS NOT NULL").select("v", F.explode("keys").alias("key"))
+    signed = rows.mapInArrow(_signed(signer, bands, band), "v bigint, rep bigint, keys array<bigint>, sketch binary")
+    vertices = cut(signed.groupBy("v").agg(F.min("rep").alias("rep"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")))
+    held = vertices.filter("keys IS NOT NULL").select("v", F.explode("keys").alias("key"))
     place = F.struct(F.xxhash64("v"), "v")
     buckets = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place)["v"].alias("hub")).filter("n > 1"))
     members = cut(held.join(buckets, "key").select("key", "v", "n", "hub"))
 
-    involved = cut(members.select("v").distinct())
-    texts = rows.join(involved.withColumnRenamed("v", "doc_id"), "doc_id").select("doc_id", "digest", "text")
-    # a repeated id may have several texts; a vertex is one of them
-    own = texts.join(vertices.select("digest", F.col("v").alias("doc_id")), ["digest", "doc_id"]).select(F.col("doc_id").alias("v"), "text")
+    # one row of each text: that of its least id (rows that repeat it, or have none, are merged below)
+    involved = cut(members.select("v").distinct().join(vertices.select("v", "rep"), "v").select(F.col("v").alias("of"), "rep"))
+    own = pick(rows, involved).select("v", "text")
     sets = cut(
         own.mapInArrow(_sets(weighted), "v bigint, elements binary").groupBy("v").agg(F.max("elements").alias("elements"))
     )
@@ -304,12 +303,15 @@ def _named(docs, threshold, signer, bands, band, weighted, id_col, text_col) ->
         ends = links.join(a, "a", "left").join(b, "b", "left")
         ends = cut(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         if ends.isEmpty():
+            discard(ends)
             return labels
         up = components(ends).select(F.col("v").alias("c"), F.col("c").alias("up"))
         known = labels.select("v", "c").unionByName(
             ends.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("c", F.col("v"))
         )
-        return cut(known.groupBy("v").agg(F.min("c").alias("c")).join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c")))
+        new = cut(known.groupBy("v").agg(F.min("c").alias("c")).join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c")))
+        discard(ends, labels)
+        return new
 
     rest = labelled(labels).filter("c <> hub_c").select(F.col("v").alias("a"), F.col("hub").alias("b")).distinct()
     rest = rest.join(first.select(F.col("v").alias("a"), F.col("hub").alias("b")), ["a", "b"], "left_anti")
@@ -318,7 +320,7 @@ def _named(docs, threshold, signer, bands, band, weighted, id_col, text_col) ->
     still = labelled(labels).filter("n > 2")
     outside = F.col("c") != F.col("hub_c")
     sizes = still.groupBy("key").agg(F.count(F.when(outside, 1)).alias("n_out"), F.count(F.lit(1)).alias("n_all")).filter("n_out > 0")
-    still = still.join(sizes, "key").join(vertices.filter("v IS NOT NULL").select("v", "sketch"), "v").join(sets, "v")
+    still = still.join(sizes, "key").join(vertices.select("v", "sketch"), "v").join(sets, "v")
     down, inner = F.ceil(F.col("n_out") / TILE), F.ceil((F.col("n_all") - F.col("n_out")) / TILE)
     still = cut(still.withColumns({"down": down.cast("int"), "inner": inner.cast("int"), "out": outside, "deal": F.xxhash64("v")}))
     block = F.when(F.col("out"), F.pmod("deal", "down")).otherwise(F.col("down") + F.pmod("deal", "inner")).cast("int")
@@ -330,36 +332,40 @@ def _named(docs, threshold, signer, bands, band, weighted, id_col, text_col) ->
     last = one.unionByName(other).groupBy("key", "i", "j").applyInPandas(_tile(least, threshold), "a bigint, b bigint")
     labels = contracted(labels, last)
 
-    names = vertices.select("digest", "v").join(labels, "v", "left").select("digest", F.coalesce("c", "v").alias("class_id"))
-    return rows, cut(names)
+    named = vertices.select("v", "rep").join(labels, "v", "left").select("v", "rep", F.coalesce("c", "v").alias("c"))
+    classes = named.groupBy("c").agg(F.min("rep").alias("class_id"))
+    names = cut(named.select("v", "c").join(classes, "c").select("v", "c", "class_id"))
+    discard(vertices, buckets, members, involved, sets, still, labels)
+    return rows, names
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: the one of the class's name. Columns unchanged.
+    """``docs`` with one row of each class: of the least doc_id, one without an id if there is no other. Columns unchanged.
 
-    A row without an id goes if its class has a name; of a text that only such rows
-    have, one stays, as does one of repeated rows of a kept id. Texts are not
-    shuffled while the ids to drop are few enough for Spark to broadcast.
+    A repeated id with unlike texts: each row stands for its own text. Repeated rows:
+    one of a class's rows stays. Ties of the id: the least digest of the text. Texts
+    are not shuffled while what is dropped is small enough for Spark to broadcast.
     """
     defaults = {"threshold": THRESHOLD, "signer": dart_text_signatures, "bands": BANDS, "band": BAND, "weighted": True}
     rows, names = _named(docs, **(defaults | options), id_col="doc_id", text_col="text")
-    classes = cut(rows.select("doc_id", "digest").join(names, "digest").select("doc_id", "class_id"))
-    gone = F.col("class_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))
-    dropped = cut(classes.filter(gone).select(F.col("doc_id").alias("__drop")).distinct())
-    kept = docs.filter(docs["doc_id"].isNotNull()).join(dropped, docs["doc_id"].cast("bigint") == F.col("__drop"), "left_anti")
-    counts = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = cut(counts.filter("n > 1").select(F.col("doc_id").alias("__again")))
-    if not repeated.isEmpty():
-        twice = kept.join(repeated, kept["doc_id"].cast("bigint") == F.col("__again"), "left")
-        once = twice.filter("__again IS NOT NULL").drop("__again").dropDuplicates(["doc_id"])
-        kept = twice.filter("__again IS NULL").drop("__again").unionByName(once)
-    nameless = docs.filter(docs["doc_id"].isNull())
-    if nameless.isEmpty():
-        return kept
-    digest = F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
-    alone = names.filter("class_id IS NULL").select(F.col("digest").alias("__of"))
-    own = nameless.withColumn("__digest", digest).join(alone, F.col("__digest") == F.col("__of"), "left_semi")
-    return kept.unionByName(own.dropDuplicates(["__digest"]).drop("__digest"))
+    found = rows.select("doc_id", "v").groupBy("doc_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    classes = cut(found.join(names.select("v", "c"), "v"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v"))
+    keepers = classes.groupBy("c").agg(first.alias("first"))
+    judged = classes.join(keepers, "c").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("v") == F.col("first.v")))
+    judged = cut(judged.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("of_id"), F.col("v").alias("of_v"), "kept"))
+    discard(classes, names)
+    # numbered names, so that columns of any names pass through
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (F.col(f"c{docs.columns.index(x)}") for x in ("doc_id", "text"))
+    marked = inner.withColumns({"own_id": doc_id.cast("bigint"), "own_v": _vertex(text)})
+    same = F.col("own_id").eqNullSafe(F.col("of_id")) & (F.col("own_v") == F.col("of_v"))
+    kept = marked.join(judged.filter("NOT kept").select("of_id", "of_v"), same, "left_anti")
+    again = judged.filter("kept").select("of_id", "of_v")
+    if not again.isEmpty():
+        twice = kept.join(again, same, "left_semi").dropDuplicates(["own_id", "own_v"])
+        kept = kept.join(again, same, "left_anti").unionByName(twice)
+    return kept.drop("own_id", "own_v").toDF(*docs.columns)
 
 
 def op2_dart_minhash(spark, sf_dir):
