@@ -11,7 +11,8 @@ from textloom.operators import catalog
 from textloom.operators.graph import longest_prefix, nearest_preceding
 from textloom.operators.quality import fallout
 from textloom.operators.ranking import ranked
-from textloom.plans.edits import apply_hunk, fnv1a, splice
+from textloom.plans.edits import fnv1a, splice
+from textloom.plans.patches import with_hunks
 from textloom.sources.relations import Relations
 from textloom.streaming.upkeep import delta, snapshots, upkeep_stream
 
@@ -69,15 +70,25 @@ def test_splice():
     assert run(3, 4, ["X"]) == list("abXef") and run(1, 0, ["X"]) == list("Xabcdef") and run(7, 6, ["X"]) == list("abcdefX")
 
 
-def test_hunks():
-    lines = list("abcabd")
-    assert apply_hunk(lines, 4, [" a", "-b", "+x"]) == list("abcaxd")
-    assert apply_hunk(lines, 3, [" a", "-b", "+x"]) == list("axcabd")
-    assert apply_hunk(lines, 1, ["-z"]) is None
+def test_hunks(spark):
+    row = [("a\nb\nc\na\nb\nd\n",)]
+    hunk = "struct<hunk:bigint,old_start:bigint,old:array<string>,new:array<string>>"
+
+    def run(*hunks):
+        df = spark.createDataFrame([(*row[0], [(k, *h) for k, h in enumerate(hunks)])], f"text string, hunks array<{hunk}>")
+        end = df.select(with_hunks(F.col("text"), F.col("hunks")).alias("e")).first().e
+        return end.error or "".join(end.lines)
+
+    assert run((4, ["a", "b"], ["a", "x"])) == "abcaxd"
+    assert run((3, ["a", "b"], ["a", "x"])) == "axcabd"
+    assert run((1, ["z"], [])) == "hunk 1 context mismatch near line 1"
+    # the second hunk is hinted two lines further down, by what the first one added
+    assert run((1, ["a"], ["a", "x", "y"]), (4, ["a", "b"], ["a", "z"])) == "axybcazd"
+    assert run((1, [], ["n"])) == "nabcabd" and run((99, [], ["n"])) == "abcabdn"
 
 
 def test_fnv():
-    assert fnv1a(b"") == "cbf29ce4" and fnv1a(b"a") == "af63dc4c"
+    assert fnv1a([b"", b"a"]) == ["cbf29ce4", "af63dc4c"] and fnv1a([]) == []
 
 
 def test_build_log_places_follow_their_error(spark):
@@ -113,14 +124,18 @@ def test_stream_counts_are_finished_hours(spark):
     assert got and all(want[k] == n for k, n in got.items()) and len(got) >= len(want) - 10
 
 
-def test_patches_change_one_line(spark):
-    text = {r.path: r.text for r in Relations(spark, SF).files.select("path", "text").collect()}
-    done = [r for r in catalog.QUERIES["patch_apply"](spark, SF).collect() if r.patched is not None]
+def test_patches_change_what_they_name(spark):
+    """A hunk takes one line out and puts two in; a second one replaces a line."""
+    rel = Relations(spark, SF)
+    files = {r.path: (r.ord, r.text) for r in rel.files.select("path", "ord", "text").collect()}
+    done = catalog.QUERIES["patch_apply"](spark, SF).collect()
     assert done
     for r in done:
-        a, b = text[r.path].split("\n"), r.patched.split("\n")
-        assert len(a) == len(b) and b[1] == "patched" and a[:1] + a[2:] == b[:1] + b[2:]
+        ord_, text = files[r.path]
+        before, after = text.rstrip("\n").split("\n"), r.patched.rstrip("\n").split("\n")
+        assert len(after) == len(before) + 1 and f"new {ord_}" in after and (ord_ % 4 != 0 or "end" in after)
 
 
 def test_paths_hash(spark):
-    assert all(r.hash == fnv1a(r.path.encode()) for r in catalog.QUERIES["fnv_hash"](spark, SF).collect())
+    rows = catalog.QUERIES["fnv_hash"](spark, SF).collect()
+    assert [r.hash for r in rows] == fnv1a([r.path.encode() for r in rows])

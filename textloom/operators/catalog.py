@@ -24,14 +24,15 @@ VIEWS = {
     "changed": """SELECT 'f'||doc_id AS file_id, CASE WHEN toxic = 1 THEN 'D' WHEN quality = 0 THEN 'A' ELSE 'M' END AS status FROM labels""",
     "symbols": """SELECT p_name AS name, CASE p_partkey % 4 WHEN 0 THEN 'component' WHEN 1 THEN 'fn' WHEN 2 THEN 'method' ELSE 'type' END AS kind,
         p_brand AS owner, CASE p_size % 3 WHEN 0 THEN 'pub' WHEN 1 THEN 'export' ELSE 'private' END AS visibility,
-        'f'||(p_partkey % 200) AS file_id, p_size::BIGINT AS line, p_size::BIGINT + p_partkey % 10 AS line_end,
-        p_partkey % 10 + 1 AS line_count, p_partkey AS ord FROM part""",
+        'f'||(p_partkey % (SELECT count(*) FROM documents)) AS file_id, p_size::BIGINT AS line, p_size::BIGINT + p_partkey % 10 AS line_end,
+        p_partkey % 10 + 1 AS line_count, CASE WHEN p_partkey % 5 <> 0 THEN p_size::BIGINT END AS body_open_line,
+        p_size::BIGINT + p_partkey % 10 AS body_close_line, p_partkey AS ord FROM part""",
     "occurrences": """SELECT value, CASE WHEN regexp_matches(value, '^[A-Z]+$') THEN 'constant' ELSE 'license' END AS kind, file_id, ord, line_no, line AS context
         FROM (SELECT *, unnest(regexp_extract_all(line, '[A-Z][A-Z]+|Licensed|License')) AS value FROM lines)""",
     "anchors": """SELECT event_type||'-'||user_id AS anchor, CASE WHEN user_id % 7 <> 0 THEN event_type END AS domain,
         CASE user_id % 5 WHEN 0 THEN 'entry' WHEN 1 THEN 'store' WHEN 2 THEN 'view' WHEN 3 THEN 'helper' END AS role,
         CASE WHEN value < 20 THEN 'P0' WHEN value < 40 THEN 'P1' WHEN value < 60 THEN 'P2' WHEN value < 80 THEN 'P3' WHEN value < 100 THEN 'PX' END AS priority,
-        'f'||(user_id % 200) AS file_id, event_id % 300 AS line, event_id AS ord FROM events""",
+        'f'||(user_id % (SELECT count(*) FROM documents)) AS file_id, event_id % 300 AS line, event_id AS ord FROM events""",
     "dependencies": """SELECT DISTINCT 'f'||l_suppkey AS source, 'f'||l_partkey AS target,
         CASE WHEN l_returnflag = 'R' THEN 'imports' ELSE 'uses' END AS kind FROM lineitem""",
     "imports": """SELECT page_id, url, unnest(a) AS specifier, unnest(range(0, len(a)))::INT AS ord
@@ -63,5 +64,5 @@ def report(views: str = "", sql: str | None = None):
 def load() -> None:
     """Import every module that registers reports."""
     from textloom.operators import catalogs, graph, navigation, quality, ranking  # noqa: F401
-    from textloom.plans import edits  # noqa: F401
+    from textloom.plans import edits, patches  # noqa: F401
     from textloom.streaming import upkeep  # noqa: F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.operators.catalog import report
 from textloom.operators.navigation import changed_files
 from textloom.operators.ranking import PRIORITY_SCORES
-from textloom.plans.edits import MUST_BE_FREE, MUST_EXIST
+from textloom.plans.ops import required_fields
 
 
 @report("", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {n}::BIGINT)" for p, n in PRIORITY_SCORES.items()) + ") t(priority, score)")
@@ -16,12 +16,13 @@ def taxonomy(rel):
     return rel.spark.createDataFrame(list(PRIORITY_SCORES.items()), "priority string, score bigint")
 
 
-_SCHEMA = [(k, "must exist") for k in MUST_EXIST] + [(k, "must be free") for k in MUST_BE_FREE]
+_SCHEMA = [(k, ",".join(fields)) for k, fields in required_fields().items()]
 
 
-@report("", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{r}')" for k, r in _SCHEMA) + ") t(kind, rule)")
+@report("", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{r}')" for k, r in _SCHEMA) + ") t(kind, required)")
 def ops_schema(rel):
-    return rel.spark.createDataFrame(_SCHEMA, "kind string, rule string")
+    """The fields that each kind of operation needs."""
+    return rel.spark.createDataFrame(_SCHEMA, "kind string, required string")
 
 
 @report("changed files", "SELECT coalesce(array_to_string(string_split(path, '/')[1:3], '/'), '-') AS area, count(*) AS n FROM changed LEFT JOIN files USING (file_id) GROUP BY ALL")

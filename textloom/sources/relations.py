@@ -28,6 +28,11 @@ class Relations:
     def read(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def spread(self) -> int:
+        """Files that symbols and anchors are spread over: all of them."""
+        return max(1, self.read("documents").count())
+
     @cached_property
     def files(self) -> DataFrame:
         """file_id, ord, path, language, package, lines, size, hash, text."""
@@ -59,7 +64,7 @@ class Relations:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        """name, kind, owner, visibility, file_id, line, line_end, line_count, ord."""
+        """name, kind, owner, visibility, file_id, line, line_end, line_count, body_open_line, body_close_line, ord."""
         line = F.col("p_size").cast("bigint")
         visibility = F.when(F.col("p_size") % 3 == 0, "pub").when(F.col("p_size") % 3 == 1, "export").otherwise("private")
         kind = F.when(F.col("p_partkey") % 4 == 0, "component").when(F.col("p_partkey") % 4 == 1, "fn").when(F.col("p_partkey") % 4 == 2, "method").otherwise("type")
@@ -68,10 +73,12 @@ class Relations:
             kind.alias("kind"),
             F.col("p_brand").alias("owner"),
             visibility.alias("visibility"),
-            F.concat(F.lit("f"), F.col("p_partkey") % 200).alias("file_id"),
+            F.concat(F.lit("f"), F.col("p_partkey") % self.spread).alias("file_id"),
             line.alias("line"),
             (line + F.col("p_partkey") % 10).alias("line_end"),
             (F.col("p_partkey") % 10 + 1).alias("line_count"),
+            F.when(F.col("p_partkey") % 5 != 0, line).alias("body_open_line"),
+            (line + F.col("p_partkey") % 10).alias("body_close_line"),
             F.col("p_partkey").alias("ord"),
         )
 
@@ -98,7 +105,7 @@ class Relations:
             domain.alias("domain"),
             F.when(F.col("user_id") % 5 < 4, role).alias("role"),
             priority.alias("priority"),
-            F.concat(F.lit("f"), F.col("user_id") % 200).alias("file_id"),
+            F.concat(F.lit("f"), F.col("user_id") % self.spread).alias("file_id"),
             (F.col("event_id") % 300).alias("line"),
             F.col("event_id").alias("ord"),
         )
