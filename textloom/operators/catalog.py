@@ -34,7 +34,7 @@ VIEWS = {
         CASE WHEN value < 20 THEN 'P0' WHEN value < 40 THEN 'P1' WHEN value < 60 THEN 'P2' WHEN value < 80 THEN 'P3' WHEN value < 100 THEN 'PX' END AS priority,
         'f'||(user_id % (SELECT count(*) FROM documents)) AS file_id, event_id % 300 AS line, event_id AS ord FROM events""",
     "dependencies": """SELECT DISTINCT 'f'||l_suppkey AS source, 'f'||l_partkey AS target,
-        CASE WHEN l_returnflag = 'R' THEN 'imports' ELSE 'uses' END AS kind FROM lineitem""",
+        CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 'imports' ELSE 'uses' END AS kind FROM lineitem""",
     "imports": """SELECT page_id, url, unnest(a) AS specifier, unnest(range(0, len(a)))::INT AS ord
         FROM (SELECT *, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages)""",
 }

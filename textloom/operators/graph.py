@@ -28,18 +28,19 @@ def package_for_path(rel):
 
 
 @report("dependencies", """SELECT 'out' AS way, target AS file_id, kind FROM dependencies WHERE source = 'f7' UNION ALL SELECT 'in', source, kind FROM dependencies WHERE target = 'f7'""")
-def neighbors_edges(rel):
+def neighbors_edges(rel, file_id: str = "f7"):
     d = rel.dependencies
-    out = d.filter("source = 'f7'").select(F.lit("out").alias("way"), F.col("target").alias("file_id"), "kind")
-    return out.unionByName(d.filter("target = 'f7'").select(F.lit("in").alias("way"), F.col("source").alias("file_id"), "kind"))
+    out = d.filter(F.col("source") == file_id).select(F.lit("out").alias("way"), F.col("target").alias("file_id"), "kind")
+    return out.unionByName(d.filter(F.col("target") == file_id).select(F.lit("in").alias("way"), F.col("source").alias("file_id"), "kind"))
 
 
 @report("anchors", """WITH own AS (SELECT DISTINCT domain, role FROM anchors WHERE file_id = 'f11')
 SELECT DISTINCT b.anchor, b.ord FROM anchors b WHERE b.file_id <> 'f11' AND b.priority = 'P0' AND (b.domain IN (SELECT domain FROM own WHERE domain IS NOT NULL) OR b.role IN (SELECT role FROM own WHERE role IS NOT NULL))""")
-def neighbors_anchors(rel):
+def neighbors_anchors(rel, file_id: str = "f11", priority: str = "P0"):
     """Anchors of the same domain or role: two equi-joins in place of one join on OR."""
     a = rel.anchors
-    own, others = a.filter("file_id = 'f11'"), a.filter("file_id <> 'f11' AND priority = 'P0'").select("anchor", "ord", "domain", "role")
+    mine = F.col("file_id") == file_id
+    own, others = a.filter(mine), a.filter(~mine & (F.col("priority") == priority)).select("anchor", "ord", "domain", "role")
     by = lambda c: others.join(own.select(c).distinct(), c, "left_semi").select("anchor", "ord")
     return by("domain").union(by("role")).distinct()
 
@@ -51,22 +52,33 @@ def degrees(rel):
     return ends.groupBy("file_id").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
 
 
-@report("files dependencies", "SELECT path FROM files WHERE starts_with(path, 'crates/apps/src1') AND file_id NOT IN (SELECT target FROM dependencies WHERE kind = 'imports' AND starts_with(source, 'f1'))")
-def orphan_degree(rel):
-    mine = rel.files.filter(F.col("path").startswith("crates/apps/src1")).select("file_id", "path")
-    return mine.join(rel.dependencies.filter("kind = 'imports' AND source LIKE 'f1%'").select(F.col("target").alias("file_id")), "file_id", "left_anti").select("path")
+@report("files dependencies", "SELECT path FROM files WHERE starts_with(path, 'crates/apps/src1') AND file_id NOT IN (SELECT target FROM dependencies WHERE kind = 'imports')")
+def orphan_degree(rel, prefix: str = "crates/apps/src1"):
+    """Files under a prefix that nothing imports."""
+    mine = rel.files.filter(F.col("path").startswith(prefix)).select("file_id", "path")
+    return mine.join(rel.dependencies.filter("kind = 'imports'").select(F.col("target").alias("file_id")), "file_id", "left_anti").select("path")
 
 
 @report("lines symbols", """WITH words AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM lines), owners AS (SELECT DISTINCT file_id, split_part(name, ' ', 1) AS word FROM symbols)
 SELECT o.file_id, o.word, count(w.file_id) AS inbound FROM owners o LEFT JOIN words w ON w.word = o.word AND w.file_id <> o.file_id GROUP BY ALL""")
 def orphan_text(rel):
-    """Files that mention a symbol's first word: an inverted index on words joined by equality, not a search of every file for every word."""
+    """How many other files mention a symbol's first word, by an inverted index on words."""
     own = rel.symbols.select("file_id", F.substring_index("name", " ", 1).alias("word")).distinct()
-    text = lines(rel.files, "file_id")
-    found = text.select("file_id", F.explode(F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
-    words = found.join(own.select("word").distinct(), "word", "left_semi").distinct().select(F.col("file_id").alias("other"), "word")
-    met = own.join(words, (own["word"] == words["word"]) & (own["file_id"] != words["other"]), "left")
-    return met.groupBy("file_id", own["word"]).agg(F.count("other").alias("inbound"))
+    return mentions(own, rel.files, "[a-z0-9]+").withColumnRenamed("others", "inbound")
+
+
+def mentions(own: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
+    """own (file_id, word) with ``others``: the files besides its own that have the word.
+
+    Files are counted for each word before they meet the owners, so a word that all
+    files have is one row, not one for each pair of files.
+    """
+    found = files.select("file_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)))).alias("word"))
+    found = found.join(own.select("word").distinct(), "word", "left_semi")
+    counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    itself = found.join(own, ["file_id", "word"], "left_semi").withColumn("own", F.lit(1))
+    met = own.join(counts, "word", "left").join(itself, ["file_id", "word"], "left").na.fill(0, ["n", "own"])
+    return met.select("file_id", "word", (F.col("n") - F.col("own")).alias("others"))
 
 
 def nearest_preceding(rows: DataFrame, marks: DataFrame) -> DataFrame:
@@ -150,10 +162,10 @@ def registered_vs_defined(rel):
     return one(d, r, "defined only").unionByName(one(r, d, "registered only"))
 
 
-@report("dependencies", """SELECT DISTINCT target FROM dependencies WHERE kind = 'uses' AND starts_with(source, 'f1') AND target NOT IN (SELECT target FROM dependencies WHERE kind = 'imports' AND starts_with(source, 'f2'))""")
+@report("dependencies", """SELECT DISTINCT target FROM dependencies WHERE kind = 'uses' AND target NOT IN (SELECT target FROM dependencies WHERE kind = 'imports')""")
 def plugins_orphans(rel):
     d = rel.dependencies
-    read, written = d.filter("kind = 'uses' AND source LIKE 'f1%'"), d.filter("kind = 'imports' AND source LIKE 'f2%'")
+    read, written = d.filter("kind = 'uses'"), d.filter("kind = 'imports'")
     return read.select("target").join(written.select("target"), "target", "left_anti").distinct()
 
 

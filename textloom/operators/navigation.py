@@ -17,9 +17,10 @@ def matching_lines(rel: Relations, needles: list[str], ignore_case: bool = True)
 
 
 def hits(rel: Relations, needles: list[str]):
-    """Files with matching lines: how many, and the first eight line numbers."""
-    first = F.array_join(F.slice(F.sort_array(F.collect_list("line_no")), 1, 8), ",")
-    return matching_lines(rel, needles).groupBy("path").agg(F.count(F.lit(1)).alias("matches"), first.alias("first_lines"))
+    """Files with matching lines: how many, and the first eight line numbers. A file's lines are looked at in its row."""
+    numbers = F.filter(F.transform(line_array("text"), lambda x, i: F.when(has_any(x, needles), i + 1)), lambda n: n.isNotNull())
+    found = rel.files.select("path", numbers.alias("at")).filter(F.size("at") > 0)
+    return found.select("path", F.size("at").cast("bigint").alias("matches"), F.array_join(F.slice("at", 1, 8), ",").alias("first_lines"))
 
 
 _HITS = "SELECT path, count(*) AS matches, array_to_string(list_sort(list(line_no))[1:8], ',') AS first_lines FROM lines WHERE {} GROUP BY path"
@@ -27,19 +28,19 @@ _CI = "contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopq
 
 
 @report("lines", _HITS.format(_CI.format(NEEDLE)))
-def find(rel):
-    return hits(rel, [NEEDLE])
+def find(rel, needle: str = NEEDLE):
+    return hits(rel, [needle])
 
 
 @report("lines", _HITS.format(_CI.format("license") + " OR " + _CI.format("rights")))
-def refs_needles(rel):
-    return hits(rel, ["License", "rights"])
+def refs_needles(rel, needles: tuple[str, ...] = ("License", "rights")):
+    return hits(rel, list(needles))
 
 
 @report("lines", f"SELECT path, line_no, trim(line) AS line FROM lines WHERE contains(line, 'Der') AND language IN ('de', 'en') ORDER BY ord, line_no LIMIT {TOP}")
-def trace_field(rel):
-    found = matching_lines(rel, ["Der"], ignore_case=False).filter(F.col("language").isin("de", "en"))
-    return found.orderBy("ord", "line_no").limit(TOP).select("path", "line_no", F.trim("line").alias("line"))
+def trace_field(rel, needle: str = "Der", languages: tuple[str, ...] = ("de", "en"), top: int = TOP):
+    found = matching_lines(rel, [needle], ignore_case=False).filter(F.col("language").isin(*languages))
+    return found.orderBy("ord", "line_no").limit(top).select("path", "line_no", F.trim("line").alias("line"))
 
 
 @report("files", """SELECT language, count(*) AS files, count(*) FILTER (WHERE contains(text, chr(13)||chr(10))) AS crlf,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import ascii_lower, count_sub, lines, slug
 from textloom.operators.catalog import report
+from textloom.operators.graph import mentions
 
 
 @report("symbols", "SELECT name, count(*) AS n, count(DISTINCT file_id) AS files, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM symbols GROUP BY name HAVING count(*) > 1")
@@ -57,9 +60,9 @@ def whole_word(needle: str) -> str:
 
 
 @report("lines", f"SELECT package, count(*) FILTER (WHERE regexp_matches(line, '{whole_word('and')}')) AS exact, count(*) FILTER (WHERE NOT regexp_matches(line, '{whole_word('and')}')) AS partial FROM lines WHERE contains(line, 'and') GROUP BY package")
-def rename_counts(rel):
-    exact = F.col("line").rlike(whole_word("and"))
-    return lines(rel.files, "package").filter(F.contains("line", F.lit("and"))).groupBy("package").agg(F.count_if(exact).alias("exact"), F.count_if(~exact).alias("partial"))
+def rename_counts(rel, needle: str = "and"):
+    exact = F.col("line").rlike(whole_word(re.escape(needle)))
+    return lines(rel.files, "package").filter(F.contains("line", F.lit(needle))).groupBy("package").agg(F.count_if(exact).alias("exact"), F.count_if(~exact).alias("partial"))
 
 
 PATTERNS = ("ring", "Licensed", "nowhere")
@@ -69,14 +72,14 @@ PATTERNS = ("ring", "Licensed", "nowhere")
 r AS (SELECT pattern, count(*) AS refs, count(c.file_id) AS in_changed FROM p JOIN lines l ON contains(line, pattern) LEFT JOIN changed c USING (file_id) GROUP BY pattern),
 n AS (SELECT pattern, coalesce(defs, 0) AS defs, coalesce(refs, 0) AS refs, coalesce(in_changed, 0) AS in_changed FROM p LEFT JOIN d USING (pattern) LEFT JOIN r USING (pattern))
 SELECT *, CASE WHEN defs = 0 AND refs = 0 THEN 'clean' WHEN refs = 0 THEN 'safe-delete candidate' WHEN refs = in_changed THEN 'cleanup in progress' ELSE 'migration incomplete' END AS status FROM n""")
-def stale_status(rel):
+def stale_status(rel, patterns: tuple[str, ...] = PATTERNS):
     """Patterns are listed for each line that holds them: the text is read once for all of them."""
-    held = lambda col: F.explode(F.filter(F.array(*map(F.lit, PATTERNS)), lambda p: F.contains(F.col(col), p)))
-    patterns = rel.spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    held = lambda col: F.explode(F.filter(F.array(*map(F.lit, patterns)), lambda p: F.contains(F.col(col), p)))
+    listed = rel.spark.createDataFrame([(p,) for p in patterns], "pattern string")
     defs = rel.symbols.select(held("name").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("defs"))
     marked = lines(rel.files, "file_id").select("file_id", held("line").alias("pattern")).join(rel.changed, "file_id", "left")
     refs = marked.groupBy("pattern").agg(F.count(F.lit(1)).alias("refs"), F.count("status").alias("in_changed"))
-    n = patterns.join(defs, "pattern", "left").join(refs, "pattern", "left").na.fill(0)
+    n = listed.join(defs, "pattern", "left").join(refs, "pattern", "left").na.fill(0)
     status = F.when((F.col("defs") == 0) & (F.col("refs") == 0), "clean").when(F.col("refs") == 0, "safe-delete candidate")
     return n.withColumn("status", status.when(F.col("refs") == F.col("in_changed"), "cleanup in progress").otherwise("migration incomplete"))
 
@@ -123,18 +126,19 @@ def diff_scope(rel):
     return rel.changed.join(first, "file_id", "left").select("file_id", "status", F.coalesce(F.array_join("s.name", ","), F.lit("")).alias("names"))
 
 
-@report("lines symbols", """WITH s AS (SELECT DISTINCT split_part(name, ' ', 2) AS word, file_id FROM symbols WHERE file_id IN ('f1', 'f2', 'f3')), w AS (SELECT file_id, unnest(list_distinct(regexp_extract_all(lower(line), '[a-z]+'))) AS word FROM lines)
+@report("lines symbols", """WITH s AS (SELECT DISTINCT split_part(name, ' ', 2) AS word, file_id FROM symbols), w AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(lower(line), '[a-z]+')) AS word FROM lines)
 SELECT s.file_id, s.word, count(w.file_id) AS refs FROM s LEFT JOIN w ON w.word = s.word AND w.file_id <> s.file_id GROUP BY ALL""")
-def delete_inbound(rel):
-    s = rel.symbols.filter(F.col("file_id").isin("f1", "f2", "f3")).select("file_id", F.split_part("name", F.lit(" "), F.lit(2)).alias("word")).distinct()
-    found = lines(rel.files, "file_id").select(F.col("file_id").alias("other"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit("[a-z]+"), F.lit(0)))).alias("w"))
-    met = s.join(found, (F.col("w") == F.col("word")) & (F.col("other") != F.col("file_id")), "left")
-    return met.groupBy("file_id", "word").agg(F.count("other").alias("refs"))
+def delete_inbound(rel, file_ids: tuple[str, ...] | None = None):
+    """How many other files mention the second word of a symbol of each file (or of the given ones)."""
+    s = rel.symbols if file_ids is None else rel.symbols.filter(F.col("file_id").isin(*file_ids))
+    own = s.select("file_id", F.split_part("name", F.lit(" "), F.lit(2)).alias("word")).distinct()
+    return mentions(own, rel.files, "[a-z]+").withColumnRenamed("others", "refs")
 
 
 # metrics, scores and labels of the risk ranking
 
-BRANCH_TOKENS = ("if ", "else if", "for ", "while ", "match ", "=>", "&&", "||", "? ", "case ", "switch ", "catch ", "Some(", "Ok(", "Err(")
+#: Needles of branching code (fixed values); ``else if`` counts for ``if `` as well.
+BRANCH_TOKENS = ("if ", "else if", "match ", "for ", "while ", "case ", "catch ", "switch ", "&&", "||", "?", "await ", ".unwrap(", ".expect(", "panic!")
 MARKERS = ("TODO", "FIXME", "HACK", "unwrap(", "expect(", "panic!")
 #: (component, column, ((at least, points), ...)): fixed values of the scoring rules.
 SCORE_RULES = (
@@ -160,9 +164,10 @@ def smell_metrics(rel):
     files = rel.files.select("file_id", "path", "language", "package", "lines", tokens(BRANCH_TOKENS).alias("branches"), tokens(MARKERS).alias("markers"))
     bodies = rel.symbols.groupBy("file_id").agg((F.max("line_count") * 20).alias("body_lines"))
     d = rel.dependencies
-    out = d.groupBy(F.col("source").alias("file_id")).agg(F.count(F.lit(1)).alias("outgoing"))
-    into = d.groupBy(F.col("target").alias("file_id")).agg(F.count(F.lit(1)).alias("incoming"))
-    joined = files.join(bodies, "file_id", "left").join(out, "file_id", "left").join(into, "file_id", "left").na.fill(0, ["body_lines", "outgoing", "incoming"])
+    # both ends of an edge at once: one pass over the edges, one join
+    ends = F.explode(F.array(F.struct(F.col("source").alias("file_id"), F.lit(1).alias("o")), F.struct(F.col("target").alias("file_id"), F.lit(0).alias("o"))))
+    degrees = d.select(ends.alias("e")).groupBy("e.file_id").agg(F.sum("e.o").alias("outgoing"), F.sum(1 - F.col("e.o")).alias("incoming"))
+    joined = files.join(bodies, "file_id", "left").join(degrees, "file_id", "left").na.fill(0, ["body_lines", "outgoing", "incoming"])
     joined = joined.join(rel.changed.select("file_id", F.lit(True).alias("is_changed")), "file_id", "left")
     return joined.withColumns({"coupling": F.greatest("outgoing", "incoming"), "is_changed": F.coalesce("is_changed", F.lit(False))})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import has, lines
+from textloom.functions.text import has, line_array, lines
 from textloom.operators.catalog import report
 
 PRIORITY_SCORES = {"P0": 100, "P1": 60, "P2": 25, "P3": 10, "PX": 5}
@@ -34,42 +34,48 @@ SELECT path, sum(points)::BIGINT AS score, array_to_string(list(reason ORDER BY
 
 
 @report("lines symbols changed anchors", _OPEN)
-def open_set(rel):
-    """A ranked reading list for a word and a symbol, with reasons."""
-    files = rel.files.select("file_id", "path")
-    refs = lines(rel.files, "path").filter(F.contains("line", F.lit("the"))).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-    defs = rel.symbols.filter(F.contains("name", F.lit("ring"))).select("file_id").distinct().join(files, "file_id")
-    touched = rel.changed.join(files, "file_id").join(refs, "path", "left_semi")
+def open_set(rel, word: str = "the", symbol: str = "ring", anchor: str = "error-1", core: str = "/src0/", home: str = "/en/", limit: int = 40):
+    """A ranked reading list for a word and a symbol, with reasons.
+
+    Evidence is gathered in the row of its file: one pass over the texts, and three
+    joins with what is known of a file.
+    """
+    n = F.size(F.filter(line_array("text"), lambda x: F.contains(x, F.lit(word))))
+    files = rel.files.select("file_id", "path", n.alias("n"))
+    defs = rel.symbols.filter(F.contains("name", F.lit(symbol))).select("file_id", F.lit(1).alias("defs")).distinct()
+    touched = rel.changed.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
     points = F.lit(5)
-    for p, n in PRIORITY_SCORES.items():
-        points = F.when(F.col("priority") == p, n).otherwise(points)
-    marks = rel.anchors.filter(F.contains("anchor", F.lit("error-1"))).join(files, "file_id").groupBy("path").agg(F.max(points).alias("p"))
-
-    def of(df: DataFrame, ord_: int, points: Column | int, reason: Column | str) -> DataFrame:
-        points = F.lit(points) if isinstance(points, int) else points
-        reason = F.lit(reason) if isinstance(reason, str) else reason
-        return df.select("path", F.lit(ord_).alias("ord"), points.cast("bigint").alias("points"), reason.alias("reason"))
-
-    evidence = (
-        of(defs, 1, 100, "definition")
-        .unionByName(of(touched, 2, 80, "changed"))
-        .unionByName(of(refs, 3, F.least("n", F.lit(10)) * 6, F.concat(F.lit("refs "), "n")))
-        .unionByName(of(refs.filter(F.contains("path", F.lit("/src0/"))), 4, 50, "core package"))
-        .unionByName(of(refs.filter(~F.contains("path", F.lit("/en/"))), 5, -20, "translation"))
-        .unionByName(of(marks, 6, F.col("p"), "anchor"))
+    for p, value in PRIORITY_SCORES.items():
+        points = F.when(F.col("priority") == p, value).otherwise(points)
+    marks = rel.anchors.filter(F.contains("anchor", F.lit(anchor))).groupBy("file_id").agg(F.max(points).alias("p"))
+    rows = files.join(defs, "file_id", "left").join(touched, "file_id", "left").join(marks, "file_id", "left")
+    path, read = F.col("path"), F.col("n") > 0
+    item = lambda points, reason: F.struct(F.lit(points).cast("bigint").alias("points") if isinstance(points, int) else points.cast("bigint").alias("points"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
+    one = lambda rule, points, reason: F.when(rule, F.array(item(points, reason))).otherwise(F.array().cast("array<struct<points:bigint,reason:string>>"))
+    evidence = F.concat(
+        one(F.col("defs").isNotNull(), 100, "definition"),
+        F.array_repeat(item(80, "changed"), F.when(read, F.coalesce("times", F.lit(0))).otherwise(0)),
+        one(read, F.least("n", F.lit(10)) * 6, F.concat(F.lit("refs "), "n")),
+        one(read & F.contains(path, F.lit(core)), 50, "core package"),
+        one(read & ~F.contains(path, F.lit(home)), -20, "translation"),
+        one(F.col("p").isNotNull(), F.col("p"), "anchor"),
     )
-    return ranked(evidence, 40)
+    found = rows.select("path", evidence.alias("e")).filter(F.size("e") > 0)
+    total = F.aggregate("e", F.lit(0).cast("bigint"), lambda acc, x: acc + x["points"])
+    scored = found.select("path", total.alias("score"), F.array_join(F.transform("e", lambda x: x["reason"]), "; ").alias("reasons"))
+    return scored.orderBy(F.desc("score"), F.desc("reasons"), "path").limit(limit)
 
 
 @report("files", """WITH t AS (SELECT language AS tl, package AS tp, lines AS tn FROM files WHERE ord = 7)
 SELECT path, CASE WHEN package = tp THEN 80 ELSE 0 END + CASE WHEN language = tl THEN 60 ELSE 0 END + CASE WHEN lines < 600 THEN 10 ELSE 0 END + least(lines, 12) * 4 AS score FROM files, t WHERE ord <> 7 ORDER BY score DESC, path LIMIT 20""")
-def copy_donors(rel):
+def copy_donors(rel, target: int = 7, limit: int = 20):
     """Files most like a target, for copying from. The target is one row, joined by a constant key."""
-    target = rel.files.filter("ord = 7").select(F.lit(1).alias("one"), F.col("language").alias("tl"), F.col("package").alias("tp"))
-    rows = rel.files.filter("ord <> 7").select(F.lit(1).alias("one"), "path", "language", "package", "lines").join(F.broadcast(target), "one")  # one row
+    own = F.col("ord") == target
+    target = rel.files.filter(own).select(F.lit(1).alias("one"), F.col("language").alias("tl"), F.col("package").alias("tp"))
+    rows = rel.files.filter(~own).select(F.lit(1).alias("one"), "path", "language", "package", "lines").join(F.broadcast(target), "one")  # one row
     score = F.when(F.col("package") == F.col("tp"), 80).otherwise(0) + F.when(F.col("language") == F.col("tl"), 60).otherwise(0)
     score = score + F.when(F.col("lines") < 600, 10).otherwise(0) + F.least("lines", F.lit(12)) * 4
-    return rows.select("path", score.alias("score")).orderBy(F.desc("score"), "path").limit(20)
+    return rows.select("path", score.alias("score")).orderBy(F.desc("score"), "path").limit(limit)
 
 
 _INDEX = """index AS (SELECT anchor, file_id, line, domain, role, priority, false AS generated, ord FROM anchors UNION ALL

@@ -113,11 +113,9 @@ class Relations:
     @cached_property
     def dependencies(self) -> DataFrame:
         """source, target, kind."""
-        return self.read("lineitem").select(
-            F.concat(F.lit("f"), F.col("l_suppkey")).alias("source"),
-            F.concat(F.lit("f"), F.col("l_partkey")).alias("target"),
-            F.when(F.col("l_returnflag") == "R", "imports").otherwise("uses").alias("kind"),
-        ).distinct()
+        imports = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
+        edges = self.read("lineitem").select("l_suppkey", "l_partkey", imports.alias("imports")).distinct()  # of numbers, not of names
+        return edges.select(F.concat(F.lit("f"), "l_suppkey").alias("source"), F.concat(F.lit("f"), "l_partkey").alias("target"), F.when(F.col("imports"), "imports").otherwise("uses").alias("kind"))
 
     @cached_property
     def imports(self) -> DataFrame:
