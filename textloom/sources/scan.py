@@ -1,18 +1,28 @@
 """Reading a repository of source text into relations, and writing relations.
 
 ``scan`` reads whole files in parallel; the relations are projections of them:
-lines exploded, patterns extracted, nothing collected. ``save`` writes a relation
-only if its rows differ from those already there.
+lines exploded, patterns extracted, nothing collected. ``bound`` gives the relations
+of a scan the columns that every report reads. ``save`` writes a relation only if its
+rows differ from those already there.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import extract, names
 from textloom.functions.text import line_array, lines
+from textloom.session import cut, discard
 
 MAX_FILE_SIZE = 1_500_000
+VERSION = 1
+#: Folders that hold no sources (fixed values).
+IGNORED = (".git", "target", "node_modules", "dist", "build", ".next", "coverage", "__pycache__")
 #: Languages by file extension (fixed values).
 LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "tsx", "js": "javascript", "css": "css", "json": "json", "md": "markdown", "toml": "toml", "yml": "yaml", "yaml": "yaml", "html": "html", "txt": "text"}
 #: Declarations by language: (language pattern, symbol pattern, kind).
@@ -22,7 +32,6 @@ DECLARATIONS = (
     ("typescript|tsx|javascript", r"^\s*(export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "fn"),
     ("typescript|tsx|javascript", r"^\s*(export\s+)?(?:class|interface|type|enum)\s+([A-Za-z_$][\w$]*)", "type"),
 )
-IMPORT = r"""^\s*(?:import|export)\s.*?from\s+['"]([^'"]+)['"]|^\s*use\s+([\w:]+)"""
 
 
 def language_of(path: Column) -> Column:
@@ -33,21 +42,23 @@ def language_of(path: Column) -> Column:
     return out
 
 
-def scan(spark: SparkSession, root: str, max_file_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """files: file_id, path, language, lines, size, hash, modified, text; larger files are left out.
-
-    Spark's file sources pass over empty files, so they have no row.
+def scan(spark: SparkSession, root: str, max_file_size: int = MAX_FILE_SIZE, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """files: file_id, ord, path, language, package, lines, size, hash, modified, text.
 
-    The id is a hash of the path, so it stays the same across scans and needs no
-    numbering of all files in one task.
+    Left out: larger files, files that are no UTF-8 text, and those in ignored
+    folders. Spark's file sources pass over empty files, so they have no row. The id
+    is a hash of the path, so it stays the same across scans and needs no numbering of
+    all files in one task. A package is the group of folders that a path lies in.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= max_file_size)
     path = F.regexp_replace("path", r"\\", "/")
-    text = F.decode("content", "UTF-8")
-    rows = found.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("h"), text.alias("text"))
+    found = found.filter(F.is_valid_utf8(F.col("content").cast("string")))
+    rows = found.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("h"), F.col("content").cast("string").alias("text"))
+    if ignored:
+        rows = rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignored))))
     return rows.select(
-        F.concat(F.lit("f"), F.substring(F.sha2("path", 256), 1, 12)).alias("file_id"), "path", language_of(F.col("path")).alias("language"),
-        F.size(line_array("text")).cast("bigint").alias("lines"), "size", F.substring("h", 1, 8).alias("hash"), "modified", "text",
+        F.concat(F.lit("f"), F.substring(F.sha2("path", 256), 1, 12)).alias("file_id"), F.xxhash64("path").alias("ord"), "path", language_of(F.col("path")).alias("language"),
+        names.group_path(F.col("path")).alias("package"), F.size(line_array("text")).cast("bigint").alias("lines"), "size", F.substring("h", 1, 8).alias("hash"), "modified", "text",
     )
 
 
@@ -63,17 +74,113 @@ def symbols(files: DataFrame) -> DataFrame:
     return rows.select("s.name", "s.kind", "s.visibility", "file_id", F.col("line_no").alias("line"), "signature")
 
 
+def ranges(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Symbols with line_end, body_open_line and body_close_line, by the braces of their file.
+
+    A body opens on the first line from the symbol on that has a brace, unless a line
+    ends the declaration before, and closes where the depth is again what it was.
+    """
+    order = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines(files.join(found.select("file_id").distinct(), "file_id", "left_semi"), "file_id")
+    rows = rows.select("file_id", "line_no", F.sum(extract.depth(F.col("line"))).over(order).alias("after"), F.contains("line", F.lit("{")).alias("opens"), F.col("line").rlike(r";\s*$").alias("ends"))
+    depths = rows.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "after", "opens", "ends"))).alias("d"))
+    before = F.coalesce(F.get(F.col("d"), (F.col("line") - 2).cast("int"))["after"], F.lit(0))
+    first = F.get(F.filter("d", lambda x: (x["line_no"] >= F.col("line")) & (x["opens"] | x["ends"])), F.lit(0))
+    joined = found.join(depths, "file_id", "left").withColumn("depth", F.when(F.col("line") > 1, before).otherwise(0))
+    joined = joined.withColumn("body_open_line", F.when(first["opens"], first["line_no"]))
+    close = F.get(F.filter("d", lambda x: (x["line_no"] >= F.col("body_open_line")) & (x["after"] <= F.col("depth"))), F.lit(0))["line_no"]
+    joined = joined.withColumn("body_close_line", close).withColumn("line_end", F.coalesce("body_close_line", "line"))
+    return joined.drop("d", "depth")
+
+
 def imports(files: DataFrame) -> DataFrame:
-    """file_id, line, specifier."""
-    found = lines(files, "file_id")
-    specifier = F.coalesce(F.nullif(F.regexp_extract("line", IMPORT, 1), F.lit("")), F.nullif(F.regexp_extract("line", IMPORT, 2), F.lit("")))
-    return found.select("file_id", F.col("line_no").alias("line"), specifier.alias("specifier")).filter("specifier IS NOT NULL")
+    """file_id, line, specifier, kind."""
+    return extract.imports(files, "file_id").select("file_id", F.col("line_no").alias("line"), "specifier", "kind")
+
+
+def porcelain(rows: DataFrame) -> DataFrame:
+    """status, path, original of the lines (column ``line``) of ``git status --porcelain``.
+
+    The first of the two letters that is no space is the status; a rename names the
+    path it came from.
+    """
+    code, rest = F.trim(F.substring("line", 1, 2)), F.substring("line", 4, 1 << 20)
+    clean = lambda x: F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit("\\"), F.lit("/"))
+    parts = F.split(rest, " -> ")
+    status = F.when(code == "??", "?").otherwise(F.substring(code, 1, 1))
+    out = rows.filter(F.length("line") > 3).select(status.alias("status"), clean(F.element_at(parts, -1)).alias("path"), F.when(F.size(parts) > 1, clean(parts[0])).alias("original"))
+    return out.filter("path <> ''")
+
+
+@dataclass(frozen=True)
+class ScannedRelations:
+    """The relations of a scanned repository, with the columns of ``textloom.sources.relations.Relations``."""
+
+    spark: SparkSession
+    files: DataFrame
+    #: status, path of what version control calls changed; none if not given.
+    status: DataFrame | None = None
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        groups = self.files.select(F.col("package").alias("name")).distinct()
+        return groups.select("name", F.when(F.col("name").startswith("crates/apps/"), "app").otherwise("library").alias("kind"), F.col("name").alias("prefix"))
+
+    @cached_property
+    def changed(self) -> DataFrame:
+        if self.status is None:
+            return self.spark.createDataFrame([], "file_id string, status string")
+        return self.status.join(self.files.select("file_id", "path"), "path").select("file_id", "status")
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        found = ranges(symbols(self.files), self.files)
+        return found.select(
+            "name", "kind", F.lit(None).cast("string").alias("owner"), "visibility", "file_id", "line", "line_end", (F.col("line_end") - F.col("line") + 1).alias("line_count"),
+            "body_open_line", "body_close_line", F.xxhash64("file_id", "line", "name").alias("ord"),
+        )
+
+    @cached_property
+    def occurrences(self) -> DataFrame:
+        found = lines(self.files, "file_id", "ord").withColumn("value", F.explode(F.regexp_extract_all("line", F.lit(r"\b(TODO|FIXME|HACK)\b"), F.lit(1))))
+        return found.select("value", F.lit("todo").alias("kind"), "file_id", "ord", "line_no", F.col("line").alias("context"))
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        """A generated anchor for each file, named by its path."""
+        path = F.col("path")
+        domain, _ = names.domain_and_layer(path)
+        slug = F.regexp_replace(F.regexp_replace(F.lower(path), "[^a-z0-9]+", "-"), "^-|-$", "")
+        return self.files.select(slug.alias("anchor"), domain.alias("domain"), names.role_of(path).alias("role"), F.lit("P2").alias("priority"), "file_id", F.lit(1).cast("bigint").alias("line"), "ord")
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        """page_id, url (the importing file), specifier, ord."""
+        found = imports(self.files).join(self.files.select("file_id", "path"), "file_id")
+        return found.select(F.col("file_id").alias("page_id"), F.col("path").alias("url"), F.col("line").cast("int").alias("ord"), "specifier")
+
+    @cached_property
+    def dependencies(self) -> DataFrame:
+        """source, target, kind: relative imports whose module is a file of the scan."""
+        tries = self.imports.select("page_id", "ord", F.posexplode(names.module_candidates(F.col("url"), F.col("specifier"))).alias("preference", "candidate"))
+        known = self.files.select(F.regexp_replace("path", "^/+", "").alias("at"), "file_id")
+        hit = tries.join(known, F.regexp_replace("candidate", "^/+", "") == F.col("at"))
+        best = hit.groupBy("page_id", "ord").agg(F.min_by("file_id", "preference").alias("target"))
+        return best.select(F.col("page_id").alias("source"), "target", F.lit("imports").alias("kind")).distinct()
+
+
+def bound(spark: SparkSession, root: str, status: DataFrame | None = None, **options) -> ScannedRelations:
+    """Scan a repository and bind its relations; paths are those below ``root``."""
+    files = scan(spark, root, **options)
+    base = root.rstrip("/").replace("\\", "/")
+    inside = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    short = F.when(inside.startswith(base + "/"), F.substring(inside, len(base) + 2, 1 << 20)).otherwise(inside)
+    files = files.withColumn("path", short).withColumn("package", names.group_path(F.col("path")))
+    return ScannedRelations(spark, cut(files), status)
 
 
 def manifest_entries(files: DataFrame) -> DataFrame:
     """file_id, section, key, value of TOML-like manifests; a key belongs to the last section above it."""
-    from pyspark.sql import Window
-
     found = lines(files.filter(F.col("language") == "toml"), "file_id")
     section = F.nullif(F.regexp_extract("line", r"^\s*\[+([^\]]+)\]+\s*$", 1), F.lit(""))
     above = F.last(section, ignorenulls=True).over(Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
@@ -89,17 +196,65 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
     return n, int(total)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether rows can be read from a path, in any store that Spark reads."""
+    try:
+        spark.read.parquet(path).schema  # noqa: B018
+    except AnalysisException:
+        return False
+    return True
+
+
 def save(df: DataFrame, path: str) -> bool:
-    """Write ``df`` unless the same rows are there already; says whether it wrote."""
+    """Write ``df`` unless the same rows are there already; says whether it wrote.
+
+    Each version goes to a folder of its own below ``path`` (``latest`` reads the
+    newest whole one), so a failure leaves the version before.
+    """
     spark = df.sparkSession
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) and fingerprint(spark.read.parquet(path)) == fingerprint(df):
+    kept = cut(df)
+    versions = f"{path}/versions"
+    print_ = fingerprint(kept)
+    last = newest(spark, path)
+    if last is not None and (last.n, last.digest) == (print_[0], str(print_[1])):
+        discard(kept)
         return False
-    df.write.mode("overwrite").parquet(path)
+    number = 0 if last is None else last.version + 1
+    kept.write.mode("overwrite").parquet(f"{path}/data-{number}")
+    discard(kept)
+    mark = spark.createDataFrame([(number, VERSION, *print_[:1], str(print_[1]))], "version bigint, layout int, n bigint, digest string")
+    mark.coalesce(1).write.mode("append").parquet(versions)  # the version counts from here on
     return True
 
 
+def newest(spark: SparkSession, path: str):
+    """The row (version, layout, n, digest) of the newest version, or None."""
+    if not exists(spark, f"{path}/versions"):
+        return None
+    return spark.read.parquet(f"{path}/versions").orderBy(F.desc("version")).first()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of what ``save`` wrote."""
+    return spark.read.parquet(f"{path}/data-{newest(spark, path).version}")
+
+
+def load_or_scan(spark: SparkSession, root: str, path: str, **options) -> DataFrame:
+    """The saved files of ``root`` if they are of this layout and none has changed since; else a new scan, saved."""
+    now = scan(spark, root, **options)
+    last = newest(spark, path)
+    if last is not None and last.layout == VERSION and not stale(now, latest(spark, path)):
+        return latest(spark, path)
+    save(now, path)
+    return latest(spark, path)
+
+
 def stale(files: DataFrame, snapshot: DataFrame) -> bool:
-    """Whether a file is newer than the snapshot's newest, or is not in it, or has gone."""
-    a, b = files.select("path", "hash"), snapshot.select("path", F.col("hash").alias("was"))
-    return not a.join(b, "path", "full_outer").filter(~F.col("hash").eqNullSafe(F.col("was"))).isEmpty()
+    """Whether a file is newer than the snapshot has it, is not in it, or has gone.
+
+    Where both have times of modification, these are compared and no text is read or
+    hashed; else hashes are.
+    """
+    by = "modified" if "modified" in files.columns and "modified" in snapshot.columns else "hash"
+    a, b = files.select("path", F.col(by).alias("now")), snapshot.select("path", F.col(by).alias("was"))
+    return not a.join(b, "path", "full_outer").filter(~F.col("now").eqNullSafe(F.col("was"))).isEmpty()
