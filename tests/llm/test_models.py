@@ -3,16 +3,17 @@
 import bisect
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from brute import Language, classes, without_boilerplate
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textloom.llm import langid, packing, toxicity, wordbpe
+from textloom.llm import langid, lines, mixing, packing, toxicity, wordbpe
 from textloom.llm.textvec import slices
 
 SF = "/root/testdata/sf0.01"
@@ -27,6 +28,17 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_match_brute_force(spark, odd, odd_rows):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    texts = [(r.doc_id, r.text) for r in rows] + [(10_000 + k, r[1]) for k, r in enumerate(odd_rows)] + [(20_000, "zzqx wvut qqq"), (20_001, "a b c d")]
+    model, want = langid.fit(docs, F.col("doc_id") % 3 == 0), Language([(r.text, r.lang) for r in rows if r.doc_id % 3 == 0])
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect()}
+    for doc_id, text in texts:
+        lang, score = want(text)
+        assert got[doc_id].lang_pred == lang and abs(got[doc_id].score - score) < 1e-9
+
+
 def test_language_of_odd_rows(odd, odd_rows, empty):
     model = langid.fit(odd, F.lit(True))
     out = langid.predict(odd, model)
@@ -82,6 +94,53 @@ def test_identity_terms_do_not_move_the_score(spark):
     assert gaps[1] < 0.5 * gaps[0]
 
 
+def test_the_fit_of_the_query_uses_counterfactual_pairs(spark):
+    """Every sampled labelled text gives a pair, and swapped terms leave the score where it was."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    train = ~toxicity.held_out(F.col("doc_id"))
+    fitted, plain = toxicity.fit(docs, labels, train), toxicity.fit(docs, labels, train, counterfactual=0.0)
+    assert fitted.pairs == labels.join(docs, "doc_id").filter(train).select("doc_id").distinct().count()
+    texts = [r.text or "" for r in docs.limit(200).collect()]
+    ones, others = toxicity.counterfactuals(texts)
+    assert all(a != b for a, b in zip(ones, others, strict=True))
+    odds = lambda m, x: np.log(m.scores(x) / (1 - m.scores(x)))
+    moved = [np.abs(odds(m, ones) - odds(m, others)).mean() for m in (fitted, plain)]
+    assert moved[0] < 0.02 and moved[0] < 0.2 * moved[1] + 1e-3
+
+
+def test_terms_are_swapped_as_words():
+    swap = toxicity.swap_terms
+    assert swap("Muslim-owned,\nBLACK women.") == "christian-owned,\nwhite men."
+    assert swap("blackbird womens mentor") is None and swap("") is None
+
+
+def test_weights_minimise_the_loss():
+    """Against the loss written out over dense rows: the gradient vanishes and no nearby weights do better."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((60, 12)) < 0.3).astype(float)
+    label = (x[:, 0] + x[:, 1] + rng.random(60) > 1).astype(float)
+    weight = rng.random(60) + 0.5
+    a, b = ((rng.random((20, 12)) < 0.4).astype(float) for _ in range(2))
+    diff = a - b
+    doc, row = np.nonzero(x)
+    pair, prow = np.nonzero(diff)
+    number = np.unique(pair, return_inverse=True)[1]
+    w, bias = toxicity.train_weights(doc, row, label, weight, 12, (number, prow, diff[pair, prow]), 4.0, 1e-2, 4000)
+
+    def loss(w, bias):
+        z = x @ w + bias
+        fit = (weight * (np.log1p(np.exp(z)) - label * z)).sum() / weight.sum()
+        return fit + 0.5 * 1e-2 * (w**2).sum() + 4.0 * ((diff[np.unique(pair)] @ w) ** 2).mean()
+
+    best = loss(w, bias)
+    for k in range(13):
+        for step in (1e-3, -1e-3):
+            v = np.append(w, bias)
+            v[k] += step
+            assert loss(v[:12], v[12]) > best - 1e-7
+
+
 def test_toxicity_of_odd_rows(odd, odd_rows, empty, spark):
     labels = spark.createDataFrame([(4, 1), (7, 0), (8, None), (None, 1), (4, 1)], "doc_id bigint, toxic int")
     model = toxicity.fit(odd.select("doc_id", "text"), labels, F.lit(True))
@@ -230,6 +289,48 @@ def test_pipeline(spark, odd, tmp_path):
     assert {r.doc_id for r in after.collect()} == texts
 
 
+def test_pipeline_matches_brute_force(spark, tokenizer):
+    """Every stage on what its predecessor kept, against plain Python."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = random.Random(8)
+    extra = [(9_000 + i, t, "en", f"src{i % 3}") for i, t in enumerate(["", "12 34", None, "zz"])]
+    picked = [(r.doc_id, r.text, r.lang, r.source) for r in table.collect()]
+    foot = "all rights are reserved by the owner of this site"
+    picked = [(i, f"{t}\n{foot}" if s in ("src0", "src1") and rng.random() < 0.6 else t, g, s) for i, t, g, s in picked]
+    docs = spark.createDataFrame(picked + extra, "doc_id bigint, text string, lang string, source string").repartition(4)
+    stages = dict(corpus_pipeline.STAGES)
+    rows_of = lambda df: sorted(((r.doc_id, r.text, r.source) for r in df.collect()), key=lambda r: r[0])
+
+    kept = stages["language"](spark, docs, "")
+    model = Language([(r[1], r[2]) for r in picked + extra])
+    judged = [(r, *model(r[1])) for r in picked + extra]
+    assert [r[0] for r in rows_of(kept)] == sorted(r[0] for r, lang, score in judged if lang != "und" and score >= corpus_pipeline.LEAST_CERTAIN)
+
+    before, cleaned = rows_of(kept), stages["site_lines"](spark, kept, "")
+    want = without_boilerplate([(r[2], r[1]) for r in before], lines.RATIO, lines.MIN_PAGES, lines.LEAST_PAGES)
+    assert [r[1] for r in rows_of(cleaned)] == want and want != [r[1] for r in before]
+
+    before, single = rows_of(cleaned), stages["near_duplicates"](spark, cleaned, "")
+    assert [str(r[0]) for r in rows_of(single)] == sorted({c for _, c in classes([(r[0], r[1]) for r in before])}, key=int)
+
+    before, mixed = rows_of(single), stages["mixture"](spark, single, "")
+    tokens, times = Counter(), Counter(r[0] for r in rows_of(mixed))
+    for _, t, s in before:
+        tokens[s] += len(t.split())
+    most, least = max(tokens.values()), min(x for x in tokens.values() if x)
+    a = 0.0 if most / least <= mixing.MAX_REPETITION else 1 - np.log(mixing.MAX_REPETITION) / np.log(most / least)
+    for source, n in tokens.items():
+        own = [(i, len(t.split())) for i, t, s in before if s == source]
+        quota = n * (most / n) ** (1 - a)
+        used = sum(k * times[i] for i, k in own)
+        assert used <= quota + 1 and used > quota - max(k for _, k in own) - n * 1e-4
+        assert max(times[i] for i, _ in own) - min(times[i] for i, _ in own) <= 1
+
+    packed = stages["packed"](spark, mixed, "").collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == times
+    assert unpacked(packed, tokenizer, {r[0]: r[1] for r in before}, 4096) <= 2 + 1.01 * sum(r.length for r in packed) / 4096
+
+
 def test_pipeline_of_odd_rows(spark, odd, empty):
     for start in (odd, empty):
         docs = start
