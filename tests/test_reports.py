@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import catalog
 from textloom.operators.graph import longest_prefix, nearest_preceding
-from textloom.operators.quality import fallout
+from textloom.operators.quality import log_errors
 from textloom.operators.ranking import ranked
 from textloom.plans.edits import fnv1a, splice
 from textloom.plans.patches import with_hunks
@@ -92,9 +92,16 @@ def test_fnv():
 
 
 def test_build_log_places_follow_their_error(spark):
-    got = {r.n: (r.file, r.kind) for r in fallout(Relations(spark, SF)).collect()}
-    assert got[1][1] == "unresolved import" and got[1][0].startswith("crates/b")
-    assert got[4][1] == "missing name/import" and got[4][0].endswith(".ts")
+    text = [
+        "a.tsx(1,2): error TS2305: no export", "error[E0603]: private", "  note", "  --> src/one.rs:1:2", "b\\c.ts(3,4): error TS2339: no property", "  --> src\\two.rs:3:4",
+        "error[E0432]: unresolved", "error[E1234]: odd", "error TS2304: nothing",
+    ]
+    log = spark.createDataFrame([("l", k, x) for k, x in enumerate(text)], "log_id string, n bigint, line string")
+    got = sorted(((r.n, r.file, r.kind, r.message) for r in log_errors(log).collect()), key=lambda r: r[0])
+    assert got == [
+        (0, "a.tsx", "missing export/import", "no export"), (1, "src/two.rs", "visibility", "private"), (4, "b/c.ts", "missing property", "no property"),
+        (6, None, "unresolved import", "unresolved"), (7, None, "other", "odd"), (8, None, "missing name/import", "nothing"),
+    ]
 
 
 def test_delta_replays_to_the_new_snapshot(spark):

@@ -251,47 +251,78 @@ def large_files(rel):
 
 # build logs: an error's place comes on a later line than its code
 
-_LOG = """log AS (SELECT event_id AS n, CASE event_id % 4 WHEN 0 THEN 'src/a'||user_id||'.ts(3,1): error TS2304: Cannot find name ''x'||user_id||'''.' WHEN 1 THEN 'error[E0432]: unresolved import `m'||user_id||'`'
-  WHEN 2 THEN '  --> crates/b'||user_id||'/mod.rs:7:5' ELSE 'note: '||event_type END AS line FROM events)"""
-CODES = {"TS2304": "missing name/import", "E0432": "unresolved import"}
+#: Codes of two compilers and what they say (fixed values); all others are ``other``.
+CODES = {
+    "TS2304": "missing name/import", "TS2305": "missing export/import", "TS2322": "type mismatch", "E0308": "type mismatch", "TS2339": "missing property",
+    "TS2345": "argument mismatch", "E0432": "unresolved import", "E0425": "missing function/value", "E0412": "missing type", "E0603": "visibility",
+}
+_TS = [c for c in CODES if c.startswith("TS")] + ["TS9999"]
+_RS = [c for c in CODES if c.startswith("E")] + ["E9999"]
+
+
+def _sql_pick(codes) -> str:
+    return "['" + "', '".join(codes) + f"'][(event_id // 4) % {len(codes)} + 1]"
+
+
+_LOG = f"""log AS (SELECT event_id // 1000 AS log_id, event_id AS n, CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 3 = 0 THEN '' ELSE 'src\\a'||user_id||'.ts(3,1): ' END||'error '||{_sql_pick(_TS)}||': Cannot find '||user_id||'.'
+  WHEN 1 THEN 'error['||{_sql_pick(_RS)}||']: unresolved m'||user_id WHEN 2 THEN CASE WHEN event_id % 5 = 0 THEN 'note' ELSE '  --> crates/b'||user_id||'/mod.rs:7:5' END ELSE 'note: '||event_type END AS line FROM events)"""
 
 
 def build_log(rel):
-    u, k = F.col("user_id"), F.col("event_id") % 4
+    """Logs of a thousand lines each: log_id, n, line."""
+    u, e = F.col("user_id"), F.col("event_id")
     cat = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    pick = lambda codes: F.element_at(F.array(*map(F.lit, codes)), (F.floor(e / 4) % len(codes) + 1).cast("int"))
     line = (
-        F.when(k == 0, cat("src/a", u, ".ts(3,1): error TS2304: Cannot find name 'x", u, "'."))
-        .when(k == 1, cat("error[E0432]: unresolved import `m", u, "`"))
-        .when(k == 2, cat("  --> crates/b", u, "/mod.rs:7:5"))
+        F.when(e % 4 == 0, cat(F.when(e % 3 == 0, "").otherwise(cat("src\\a", u, ".ts(3,1): ")), "error ", pick(_TS), ": Cannot find ", u, "."))
+        .when(e % 4 == 1, cat("error[", pick(_RS), "]: unresolved m", u))
+        .when(e % 4 == 2, F.when(e % 5 == 0, "note").otherwise(cat("  --> crates/b", u, "/mod.rs:7:5")))
         .otherwise(cat("note: ", F.col("event_type")))
     )
-    return rel.read("events").select(F.col("event_id").alias("n"), line.alias("line"))
+    return rel.read("events").select(F.floor(e / 1000).alias("log_id"), e.alias("n"), line.alias("line"))
 
 
-@report("", f"""WITH {_LOG}, marked AS (SELECT n, line, regexp_extract(line, '^(.+)\\(\\d+,\\d+\\): error (TS\\d+)', 1) AS ts_file, regexp_extract(line, 'error (TS\\d+)', 1) AS ts, regexp_extract(line, '^error\\[(E\\d+)\\]', 1) AS rs,
-  regexp_extract(lead(line) OVER (ORDER BY n), '^ +--> ([^:]+):', 1) AS place FROM log), errors AS (SELECT n, CASE WHEN ts <> '' THEN ts_file ELSE place END AS file, CASE WHEN ts <> '' THEN ts ELSE rs END AS code FROM marked WHERE ts <> '' OR rs <> '')
-SELECT n, file, code, CASE code WHEN 'TS2304' THEN 'missing name/import' WHEN 'E0432' THEN 'unresolved import' ELSE 'other' END AS kind FROM errors""")
-def fallout(rel):
-    """Errors of a build log. A Rust error takes the place named on the line after it.
+def log_errors(log):
+    """log_id, n, file, code, kind, message of every error of some build logs (log_id, n, line).
 
-    Lines carry their number, so the line after is found by equality and no window
-    runs over the whole log.
+    An error of the second compiler has the last place named before its next error,
+    however many lines further down; a log is one window.
     """
-    log, line = build_log(rel), F.col("line")
-    places = log.select((F.col("n") - 1).alias("n"), F.regexp_extract("line", r"^ +--> ([^:]+):", 1).alias("place")).filter("place <> ''")
-    ts, rs = F.regexp_extract(line, r"error (TS\d+)", 1), F.regexp_extract(line, r"^error\[(E\d+)\]", 1)
-    found = log.select("n", ts.alias("ts"), rs.alias("rs"), F.regexp_extract(line, r"^(.+)\(\d+,\d+\): error", 1).alias("ts_file")).filter("ts <> '' OR rs <> ''")
-    found = found.join(places, "n", "left").withColumn("code", F.when(F.col("ts") != "", F.col("ts")).otherwise(F.col("rs")))
-    kind = F.lit("other")
-    for code, what in CODES.items():
-        kind = F.when(F.col("code") == code, what).otherwise(kind)
-    return found.select("n", F.when(F.col("ts") != "", F.col("ts_file")).otherwise(F.coalesce("place", F.lit(""))).alias("file"), "code", kind.alias("kind"))
-
-
-@report("", f"WITH {_LOG} SELECT code, count(*) AS n FROM (SELECT regexp_extract(line, '(TS\\d+|E\\d{{4}})', 1) AS code FROM log) WHERE code <> '' GROUP BY code")
+    line, order = F.col("line"), Window.partitionBy("log_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    ts, rs = r"error (TS\d+): (.+)", r"error\[(E\d+)\]: (.+)"
+    is_ts = line.rlike(ts)
+    is_rs = ~is_ts & line.rlike(rs)
+    place = F.when(~is_ts & ~is_rs, F.nullif(F.regexp_extract("line", r"-->\s+([^:]+):\d+:\d+", 1), F.lit("")))
+    own = F.nullif(F.regexp_extract("line", r"([^()\s]+\.(?:ts|tsx))\(\d+,\d+\):\s*error TS", 1), F.lit(""))
+    rows = log.select("log_id", "n", "line", is_ts.alias("ts"), is_rs.alias("rs"), place.alias("place"), own.alias("own"))
+    rows = rows.withColumn("nth", F.sum(F.col("rs").cast("int")).over(order))
+    last = F.max(F.when(F.col("place").isNotNull(), F.struct("n", "place"))).over(Window.partitionBy("log_id", "nth"))["place"]
+    # places above the first such error belong to none
+    found = rows.withColumn("last", last).filter("ts OR rs")
+    either = lambda k: F.when(F.col("ts"), F.regexp_extract("line", ts, k)).otherwise(F.regexp_extract("line", rs, k))
+    code = either(1)
+    kind = F.coalesce(*[F.when(code == c, F.lit(what)) for c, what in CODES.items()], F.lit("other"))
+    file = F.replace(F.when(F.col("ts"), F.col("own")).otherwise(F.col("last")), F.lit("\\"), F.lit("/"))
+    return found.select("log_id", "n", file.alias("file"), code.alias("code"), kind.alias("kind"), either(2).alias("message"))
+
+
+_KIND = "CASE code " + " ".join(f"WHEN '{c}' THEN '{w}'" for c, w in CODES.items()) + " ELSE 'other' END"
+_ERRORS = _LOG + r""", marked AS (SELECT *, regexp_extract(line, 'error (TS\d+): ', 1) AS ts, regexp_extract(line, 'error\[(E\d+)\]: ', 1) AS rs, regexp_extract(line, '^([^()\s]+[.]tsx?)\(\d+,\d+\):', 1) AS own,
+  regexp_extract(line, '-->\s+([^:]+):\d+:\d+', 1) AS place FROM log), numbered AS (SELECT *, sum((rs <> '')::INT) OVER (PARTITION BY log_id ORDER BY n) AS nth FROM marked),
+placed AS (SELECT *, max(CASE WHEN place <> '' THEN n END) OVER (PARTITION BY log_id, nth) AS at_n FROM numbered),
+errors AS (SELECT p.n, CASE WHEN p.ts <> '' THEN replace(nullif(p.own, ''), '\', '/') ELSE q.place END AS file, CASE WHEN p.ts <> '' THEN p.ts ELSE p.rs END AS code, regexp_extract(p.line, 'error.*?[0-9]\]?: (.+)', 1) AS message
+  FROM placed p LEFT JOIN marked q ON q.n = p.at_n WHERE p.ts <> '' OR p.rs <> '')"""
+
+
+@report("", f"WITH {_ERRORS} SELECT n, file, code, {_KIND} AS kind, message FROM errors")
+def fallout(rel):
+    """Errors of build logs with their files and what their codes say."""
+    return log_errors(build_log(rel)).drop("log_id")
+
+
+@report("", f"WITH {_ERRORS} SELECT {_KIND} AS kind, count(*) AS n, count(DISTINCT file) AS files FROM errors GROUP BY ALL")
 def fallout_summary(rel):
-    code = F.regexp_extract("line", r"(TS\d+|E\d{4})", 1)
-    return build_log(rel).select(code.alias("code")).filter("code <> ''").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return log_errors(build_log(rel)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file").alias("files"))
 
 
 @report("", """SELECT conv_id, count(*) AS turns, sum(tokens)::BIGINT AS tokens FROM (SELECT conv_id, len(string_split(text, ' ')) AS tokens FROM conversations) GROUP BY conv_id ORDER BY tokens DESC, conv_id LIMIT 12""")

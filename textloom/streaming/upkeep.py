@@ -76,12 +76,14 @@ def stream_counts(spark: SparkSession, sf_dir: str, out: str) -> None:
     query.awaitTermination()
 
 
-@report()
+@report("", """SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY ALL)
+  WHERE started + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def events_stream(rel):
     """What the stream has finished: all hours but those the watermark still holds open."""
     out = f"{shared_dir(rel.spark)}/textloom/stream-{uuid.uuid4().hex}"
     stream_counts(rel.spark, rel.sf_dir, out)
-    return rel.spark.read.schema("started timestamp, event_type string, n bigint").parquet(f"{out}/rows")
+    rows = rel.spark.read.schema("started timestamp, event_type string, n bigint").parquet(f"{out}/rows")
+    return rows.withColumn("started", F.col("started").cast("timestamp_ntz"))
 
 
 def upkeep_stream(spark: SparkSession, changes: DataFrame, known_path: str, rescan) -> None:
