@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.pick import pick
 from textloom.llm.textvec import Words, mix, one_of_each, powers, release, slices, texts_of
 from textloom.session import cut, discard, table
 
@@ -243,8 +244,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def with_text(of: DataFrame, *columns) -> DataFrame:
         """The one row of each text, with these columns of ``of`` (of, rep, ...)."""
-        one = (F.col("v") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep"))
-        return rows.join(of, one).select("v", "text", *columns)
+        return pick(rows, of).select("v", "text", *columns)
 
     n_rows = kept.agg(F.coalesce(F.sum(F.size(F.filter("places", lambda x: ~x["hot"]))), F.lit(0))).first()[0]
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // SORTED_ROWS))
@@ -261,7 +261,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     opened = placed.join(unsettled, F.col("gram") == F.col("open"), "left").filter("hot OR open IS NOT NULL")
     opened = opened.groupBy("of", "rep").agg(F.collect_list("at").alias("at"))
     windows = cut(with_text(opened, "at").mapInArrow(_windows, "v bigint, start int, key bigint"))
-    common = windows.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low < high")
+    # written first, so that the join below is free to split the windows of a frequent passage
+    common = cut(windows.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low < high"))
     other = F.when(F.col("v") == F.col("low"), F.col("high")).otherwise(F.col("low"))
     exact = windows.join(common, "key").select("v", "start", (F.col("start") + LEAST_WORDS).alias("stop"), other.alias("other"))
     matches = compared.filter("gram IS NULL").select("v", "start", "stop", "other").unionByName(exact)
@@ -279,7 +280,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lengths = marks.filter("gram IS NULL").select("v", F.col("at").alias("end_word")).distinct().filter(F.col("end_word") >= LEAST_WORDS)
     copies = named.join(copied.join(lengths, "v"), "v").select("doc_id", F.lit(0).alias("start_word"), "end_word", F.col("first").alias("other_id"), "copies")
     out = cut(alone.unionByName(copies))
-    discard(ids, marks, shared, kept, compared, windows, spans, copied)
+    discard(ids, marks, shared, kept, compared, windows, common, spans, copied)
     return out
 
 
