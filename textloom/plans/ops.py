@@ -252,7 +252,10 @@ def found_anywhere(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed
     wide = ops.filter(F.col("path").isNull() & F.col("kind").isin("replace_field_access", "assert_text_absent")).select("op_id", "find", F.coalesce("scope", F.lit("all")).alias("scope"))
     marked = files.select("file_id", "text").join(changed.select("file_id", F.lit(True).alias("is_changed")).distinct(), "file_id", "left")
     scopes = F.explode(F.when(F.col("is_changed"), F.array(F.lit("all"), F.lit("changed"))).otherwise(F.array(F.lit("all"))))
-    texts = marked.select("text", scopes.alias("scope")).join(F.broadcast(wide), "scope").groupBy("op_id").agg(F.sum(matches(F.col("text"), F.col("find"))).alias("found"))
+    # each text is searched once for a needle, however many operations ask for it
+    needles = wide.select("find", "scope").distinct()
+    counts = marked.select("text", scopes.alias("scope")).join(F.broadcast(needles), "scope").groupBy("find", "scope").agg(F.sum(matches(F.col("text"), F.col("find"))).alias("found"))
+    texts = wide.join(counts, ["find", "scope"]).select("op_id", "found")
     names = ops.filter(F.col("path").isNull() & (F.col("kind") == "assert_symbol_absent")).select("op_id", "symbol")
     same = names.join(symbols.select(F.col("name").alias("symbol")), "symbol").groupBy("op_id").agg(F.count(F.lit(1)).alias("found"))
     return texts.unionByName(same)
@@ -273,6 +276,7 @@ def check_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: Dat
     rows = ops.join(at, "path", "left").join(targets, "target", "left").join(virtual, "op_id", "left")
     rows = rows.join(dirs.join(ops.filter(F.col("kind").isin(*FOLDER_KINDS)).select("path").distinct(), "path"), "path", "left")
     rows = rows.join(found_anywhere(ops, files, symbols, changed), "op_id", "left")
+    rows = cut(rows)  # the rules are a large expression, planned once over what was joined
     op = {c: F.col(c) for c in (*PLAN, *_SYMBOL)}
     flags = F.coalesce("target_there", F.lit(False)), F.coalesce("is_folder", F.lit(False)), F.coalesce("found", F.lit(0)), F.col("virtual")
     said = bind(seen(op, F.col("own")), lambda t: verdict(op, t, *flags))
@@ -347,6 +351,7 @@ def apply_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: Dat
         return bind(judged, turned)
 
     start = F.struct(F.col("texts"), F.lit(None).cast("string").alias("failed"))
-    done = state.join(todo, "group").select("paths", "texts", F.aggregate("ops", start, step).alias("end"))
+    ready = cut(state.join(todo, "group"))
+    done = ready.select("paths", "texts", F.aggregate("ops", start, step).alias("end"))
     final = F.when(F.col("end.failed").isNull(), F.col("end.texts")).otherwise(F.col("texts"))
     return done.select(F.explode("paths").alias("path"), final.alias("all"), F.col("end.failed").alias("failed")).select("path", F.try_element_at("all", F.col("path")).alias("text"), "failed")
