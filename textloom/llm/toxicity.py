@@ -2,18 +2,23 @@
 
 Features of a text are its distinct words and the distinct beginnings of its
 words (``PREFIXES`` characters). Features whose presence differs between the
-classes by more than chance are kept, and a logistic regression is fitted on them.
-For labelled texts that name a group, each identity term is swapped for the next
-one of its set, and the loss adds ``weight * (change of the text's log odds)**2``,
-so that naming a group as such does not move the score.
+classes by more than chance are kept, together with those of every identity term,
+and a logistic regression is fitted on them in which both classes weigh alike. Each labelled text gives a
+counterfactual pair: its identity terms are swapped for the next ones of their sets;
+a text that names no group is given one (a term chosen by a hash of the text) and
+compared with itself under the next term. The loss adds ``counterfactual * (change
+of the text's log odds)**2``, so that which group is named does not move the score,
+even where a term looks like words of toxic texts. ``Model.pairs`` counts the pairs.
 
 The fit uses a bounded sample of labelled rows (``sample_rows`` of each class,
-chosen by a hash of the id); its features leave the executors in one bounded
-batch. Every document is then scored whole, in one pass without a shuffle.
+chosen by a hash of the id); its features leave the executors in one batch bounded
+by it. Every document is then scored whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.langid import bucket_of, sampled
-from textloom.llm.textvec import Lookup, Words, chunks, texts_of
-from textloom.session import table
+from textloom.llm.textvec import Lookup, Words, release, slices, texts_of
+from textloom.session import cut, discard, table
 
 SAMPLE_ROWS = 8_000
-FEATURES = 20_000
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 #: Chance level, as a z score, above which a feature is kept.
@@ -48,11 +52,9 @@ IDENTITY_TERMS = (
 )
 
 
-def _swapped(term: str) -> str:
-    for terms in IDENTITY_TERMS:
-        if term in terms:
-            return terms[(terms.index(term) + 1) % len(terms)]
-    return term
+_NEXT = {term: terms[(k + 1) % len(terms)] for terms in IDENTITY_TERMS for k, term in enumerate(terms)}
+_TERMS = list(_NEXT)
+_WORD = re.compile(r"[^\W_]+")
 
 
 def features(texts: list[str], lookup: Lookup | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -82,36 +84,45 @@ def features(texts: list[str], lookup: Lookup | None = None) -> tuple[np.ndarray
 
 
 def swap_terms(text: str) -> str | None:
-    """The text with every identity term swapped; None if it has none."""
-    terms = {t for group in IDENTITY_TERMS for t in group}
-    parts, changed = [], False
-    for w in text.lower().split(" "):
-        bare = w.strip(".,;:!?\"'()\n")
-        if bare in terms:
-            w, changed = w.replace(bare, _swapped(bare)), True
-        parts.append(w)
-    return " ".join(parts) if changed else None
+    """The text in lower case with every identity term (a whole word) swapped; None if it has none."""
+    text = text.lower()
+    new = _WORD.sub(lambda m: _NEXT.get(m[0], m[0]), text)
+    return None if new == text else new
+
+
+def counterfactuals(texts: list[str]) -> tuple[list[str], list[str]]:
+    """(texts that name a group, the same texts naming another); see the module."""
+    ones, others = [], []
+    for text in texts:
+        other = swap_terms(text)
+        if other is None:
+            pick = _TERMS[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(_TERMS)]
+            text, other = f"{text} {pick}", f"{text} {_NEXT[pick]}"
+        ones.append(text)
+        others.append(other)
+    return ones, others
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, toxic = texts_of(batch.column(0)), np.array(batch.column(1).to_pylist(), np.int64)
-        for a, z in chunks(texts):
-            doc, values = features(texts[a:z])
-            label = toxic[a:z][doc]
-            hashes, row = np.unique(values, return_inverse=True)
-            ones = np.bincount(row, label, len(hashes)).astype(np.int64)
-            every = np.bincount(row, minlength=len(hashes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(every), pa.array(ones)], names=["hash", "n", "ones"]
-            )
+    for batch in (part for whole in batches for part in slices(whole, 0)):
+        doc, values = features(texts_of(batch.column(0)))
+        label = batch.column(1).to_numpy()[doc]
+        hashes, row = np.unique(values, return_inverse=True)
+        ones = np.bincount(row, label, len(hashes)).astype(np.int64)
+        every = np.bincount(row, minlength=len(hashes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(every), pa.array(ones)], names=["hash", "n", "ones"])
+
+
+def _by_text(doc: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    ends = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(row.astype(np.int32)))
 
 
 class Model:
     """Weights of features and of the class as a whole."""
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float):
-        self.lookup, self.weights, self.bias = Lookup(hashes), weights, bias
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, bias: float, pairs: int = 0):
+        self.lookup, self.weights, self.bias, self.pairs = Lookup(hashes), weights, bias, pairs
 
     def scores(self, texts: list[str]) -> np.ndarray:
         doc, row = features(texts, self.lookup)
@@ -159,10 +170,14 @@ def fit(
     labels: DataFrame,
     train: Column,
     sample_rows: int = SAMPLE_ROWS,
-    n_features: int = FEATURES,
     counterfactual: float = COUNTERFACTUAL_WEIGHT,
 ) -> Model:
-    """Fit on the labelled rows that meet ``train`` (over doc_id). No labels of a class: a constant score."""
+    """Fit on the labelled rows that meet ``train`` (over doc_id).
+
+    No labels of a class, or an empty table: a constant score. Null label or id: not
+    used. An id labelled twice is toxic if any label says so; one that several rows
+    of ``docs`` have stands for the least of their texts. Null text: empty.
+    """
     known = labels.filter(train).filter("toxic IS NOT NULL AND doc_id IS NOT NULL")
     known = known.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -170,7 +185,8 @@ def fit(
         return Model(np.zeros(0, np.uint64), np.zeros(0), 3.0 if 1 in sizes else -3.0)
     # of a proven size: sample_rows of each of two classes at most (a hash share of the class)
     picked = sampled(known, "toxic", F.col("doc_id"), sample_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    texts = cut(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"))
     counts = (
         texts.mapInArrow(_count_batches, "hash bigint, n bigint, ones bigint")
         .groupBy("hash")
@@ -179,59 +195,49 @@ def fit(
     share = {k: min(1.0, sample_rows / n) for k, n in sizes.items()}
     rate = sizes[1] * share[1] / (sizes[0] * share[0] + sizes[1] * share[1])
     z = (F.col("ones") - F.col("n") * F.lit(rate)) / F.sqrt(F.col("n") * F.lit(rate * (1 - rate)))
-    kept = counts.filter("n >= 3").withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z)
-    hashes = kept.orderBy(F.desc("z"), "hash").limit(n_features).select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
+    kept = counts.filter(F.abs(z) >= LEAST_Z).select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
+    hashes = np.union1d(kept, features(_TERMS)[1])
     lookup = Lookup(hashes)
-    shared = docs.sparkSession.sparkContext.broadcast(lookup)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, toxic = texts_of(batch.column(0)), batch.column(1).to_pylist()
-            for a, z in chunks(texts):
-                doc, row = features(texts[a:z], shared.value)
-                ends = np.searchsorted(doc, np.arange(z - a + 1))
-                other = [swap_terms(t) for t in texts[a:z]]
-                odoc, orow = features([t or "" for t in other], shared.value)
-                oends = np.searchsorted(odoc, np.arange(z - a + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(toxic[a:z], pa.int32()),
-                        pa.array([row[ends[i] : ends[i + 1]].astype(np.int64) for i in range(z - a)], pa.list_(pa.int64())),
-                        pa.array([orow[oends[i] : oends[i + 1]].astype(np.int64) if other[i] else None for i in range(z - a)], pa.list_(pa.int64())),
-                    ],
-                    names=["toxic", "rows", "swapped"],
-                )
-
-    data: pd.DataFrame = texts.mapInArrow(sparse, "toxic int, rows array<bigint>, swapped array<bigint>").toPandas()
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            of, n = texts_of(batch.column(0)), batch.num_rows
+            lists = [_by_text(*features(x, lookup), n) for x in (of, *counterfactuals(of))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *lists], names=["toxic", "rows", "named", "swapped"])
+
+    data: pd.DataFrame = texts.mapInArrow(sparse, "toxic int, rows array<int>, named array<int>, swapped array<int>").toPandas()
+    discard(texts)
+    if not len(data):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -3.0)
     label = data["toxic"].to_numpy(float)
     lengths = data["rows"].map(len).to_numpy(np.int64)
     doc, row = np.repeat(np.arange(len(data)), lengths), np.concatenate([*data["rows"], np.zeros(0, np.int64)]).astype(np.int64)
     pair, prow, sign = [], [], []
-    for k, (mine, other) in enumerate(zip(data["rows"], data["swapped"], strict=True)):
-        if other is not None:
-            for values, s in ((np.setdiff1d(mine, other), 1.0), (np.setdiff1d(other, mine), -1.0)):
-                pair.append(np.full(len(values), k))
-                prow.append(values.astype(np.int64))
-                sign.append(np.full(len(values), s))
-    pairs = None
-    if pair and sum(map(len, pair)):
-        number = np.unique(np.concatenate(pair), return_inverse=True)[1]
-        pairs = (number, np.concatenate(prow), np.concatenate(sign))
-    weight = np.where(label > 0, 1 / share[1], 1 / share[0])
+    for k, (mine, other) in enumerate(zip(data["named"], data["swapped"], strict=True)):
+        for values, s in ((np.setdiff1d(mine, other), 1.0), (np.setdiff1d(other, mine), -1.0)):
+            pair.append(np.full(len(values), k))
+            prow.append(values.astype(np.int64))
+            sign.append(np.full(len(values), s))
+    number = np.unique(np.concatenate(pair), return_inverse=True)[1]
+    pairs = (number, np.concatenate(prow), np.concatenate(sign))
+    weight = 1 / np.bincount(label.astype(np.int64), minlength=2).clip(1)[label.astype(np.int64)]  # the classes weigh alike
     weights, bias = train_weights(doc, row, label, weight, len(hashes), pairs, counterfactual)
-    return Model(hashes, weights, bias)
+    return Model(hashes, weights, bias, int(number.max(initial=-1)) + 1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of each row of ``docs`` (doc_id, text); a null or empty text scores the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, score of each row of ``docs`` (doc_id, text).
+
+    A null or empty text scores the bias alone. Texts of any length: scored whole.
+    Repeated rows: each is scored. Null id: stays null. Empty table: no rows. Other
+    columns are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch.column(1))
-            parts = [shared.value.scores(texts[a:z]) for a, z in chunks(texts)]
-            values = np.concatenate([*parts, np.zeros(0)])
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            values = model.scores(texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "score"])
+        release()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double")
 
