@@ -143,6 +143,13 @@ def _round_end(capacity: int):
     return run
 
 
+def _all_at_once(use):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield use(pd.concat([pd.DataFrame(columns=_COLUMNS), *batches]).astype({c: "int64" for c in _COLUMNS[:-1]} | {"fresh": bool}))
+
+    return run
+
+
 def placed_lots(spark: SparkSession, items: list[list[int]], capacity: int = CAPACITY) -> list[list[int]]:
     """Places of all items: [size, first number, count, first sequence, gap] for each lot; see the module.
 
@@ -160,7 +167,7 @@ def placed_lots(spark: SparkSession, items: list[list[int]], capacity: int = CAP
     while True:
         for _ in range(ROUNDS):
             swept = lots.withColumn("range", of).groupBy("range").applyInPandas(_swept, _LOT)
-            lots = swept.groupBy(F.lit(0).alias("all")).applyInPandas(_round_end(capacity), _LOT)
+            lots = swept.repartition(1).mapInPandas(_all_at_once(_round_end(capacity)), _LOT)  # a few lots for each size
         lots = cut(lots)
         done.append(lots)
         if lots.filter(F.col("kind") == ITEM).isEmpty():
