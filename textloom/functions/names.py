@@ -20,7 +20,7 @@ FEATURES = (
 APP, TOOL = "crates/apps/editor/", "crates/tools/index/"
 #: Prefix of a path, its domain and its layer, the first that holds (fixed values).
 DOMAINS = (
-    (TOOL, "codemap", "tool"), (APP + "src/editors/ui-document/", "ui-document", "app"), (APP + "src/features/scenes/editor/", "scene-editor", "app"),
+    (TOOL, "index", "tool"), (APP + "src/editors/ui-document/", "ui-document", "app"), (APP + "src/features/scenes/editor/", "scene-editor", "app"),
     (APP + "src-tauri/src/editor_mode/", "editor-mode", "app-backend"), (APP + "src-tauri/", "editor-backend", "app-backend"), (APP + "src/api/", "editor-api", "app"),
     (APP + "src/main-window/", "workspace", "app"), (APP + "src/dock/", "workspace", "app"), (APP + "src/properties/", "properties", "app"),
     (APP + "src/features/inspector/", "properties", "app"), (APP + "src/features/project/", "project", "app"), (APP + "src/features/assets/", "assets", "app"),
@@ -68,7 +68,7 @@ def feature_group(path: Column, app: str = APP) -> Column:
 
 def domain_and_layer(path: Column) -> tuple[Column, Column]:
     known = [(path.startswith(p), d, la) for p, d, la in DOMAINS] + [(path.endswith(".md"), "docs", "docs")]
-    return first_of([(rule, d) for rule, d, _ in known], F.lit("codemap")), first_of([(rule, la) for rule, _, la in known], F.lit("tool"))
+    return first_of([(rule, d) for rule, d, _ in known], F.lit("index")), first_of([(rule, la) for rule, _, la in known], F.lit("tool"))
 
 
 def role_of(path: Column) -> Column:

@@ -56,7 +56,7 @@ def path_groups(rel):
     return paths(rel).select("ord", "path", N.group_path(path).alias("grouped"), N.feature_group(path).alias("feature"))
 
 
-@report("", f"""WITH {_PATHS} SELECT ord, {_sql_case([(f"starts_with(path, '{p}')", d) for p, d, _ in N.DOMAINS] + [("path LIKE '%.md'", "docs")], "'codemap'")} AS domain, {_sql_case([(f"starts_with(path, '{p}')", x) for p, _, x in N.DOMAINS] + [("path LIKE '%.md'", "docs")], "'tool'")} AS layer,
+@report("", f"""WITH {_PATHS} SELECT ord, {_sql_case([(f"starts_with(path, '{p}')", d) for p, d, _ in N.DOMAINS] + [("path LIKE '%.md'", "docs")], "'index'")} AS domain, {_sql_case([(f"starts_with(path, '{p}')", x) for p, _, x in N.DOMAINS] + [("path LIKE '%.md'", "docs")], "'tool'")} AS layer,
   {_sql_case([(f"ends_with(path, '{e}')", r) for e, r in N.ROLES], "'file'")} AS role FROM paths""")
 def path_domains(rel):
     domain, layer = N.domain_and_layer(F.col("path"))
