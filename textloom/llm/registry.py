@@ -5,6 +5,7 @@ from __future__ import annotations
 from textloom.llm.fingerprints import op8_fingerprints
 from textloom.llm.langid import op7_language_id
 from textloom.llm.lines import OP9_SQL, op9_site_lines
+from textloom.llm.lmscore import op13_lm_scoring
 from textloom.llm.mixing import OP3_SQL, op3_temperature_mixing
 from textloom.llm.neardup import op2_dart_minhash
 from textloom.llm.neighbours import OP1_SQL, op1_block_matrix_search
@@ -26,6 +27,7 @@ def queries():
         "op8_fingerprints": op8_fingerprints,
         "op9_site_lines": op9_site_lines,
         "op10_toxicity": op10_toxicity,
+        "op13_lm_scoring": op13_lm_scoring,
     }
 
 
