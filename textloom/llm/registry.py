@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textloom.llm.divergence import OP11_SQL, op11_source_divergence
 from textloom.llm.fingerprints import op8_fingerprints
 from textloom.llm.langid import op7_language_id
 from textloom.llm.lines import OP9_SQL, op9_site_lines
@@ -27,6 +28,7 @@ def queries():
         "op8_fingerprints": op8_fingerprints,
         "op9_site_lines": op9_site_lines,
         "op10_toxicity": op10_toxicity,
+        "op11_source_divergence": op11_source_divergence,
         "op13_lm_scoring": op13_lm_scoring,
     }
 
@@ -37,4 +39,5 @@ def oracle_sql():
         "op3_temperature_mixing": OP3_SQL,
         "op4_stratified_shards": OP4_SQL,
         "op9_site_lines": OP9_SQL,
+        "op11_source_divergence": OP11_SQL,
     }
