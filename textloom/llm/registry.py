@@ -14,6 +14,7 @@ from textloom.llm.packing import op5_best_fit_packing
 from textloom.llm.sharding import OP4_SQL, op4_stratified_shards
 from textloom.llm.suffixes import op6_suffix_passages
 from textloom.llm.toxicity import op10_toxicity
+from textloom.llm.trie import OP12_SQL, op12_prefix_trie
 
 
 def queries():
@@ -29,6 +30,7 @@ def queries():
         "op9_site_lines": op9_site_lines,
         "op10_toxicity": op10_toxicity,
         "op11_source_divergence": op11_source_divergence,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_lm_scoring": op13_lm_scoring,
     }
 
@@ -40,4 +42,5 @@ def oracle_sql():
         "op4_stratified_shards": OP4_SQL,
         "op9_site_lines": OP9_SQL,
         "op11_source_divergence": OP11_SQL,
+        "op12_prefix_trie": OP12_SQL,
     }
