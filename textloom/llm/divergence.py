@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +163,7 @@ class Audit:
         discard(buckets)
         return best
 
-    def pairs(self) -> DataFrame:
+    def pairs(self, tile: int = TILE) -> DataFrame:
         """lang, source, other, value: every ordered pair of sources of a language, by the sum of f over all kept terms.
 
         As many rows as there are pairs of sources, which is the result asked for.
@@ -181,7 +182,7 @@ class Audit:
             "lang", F.least("at", "b0").alias("a"), F.greatest("at", "b0").alias("b"),
             (F.col("terms") * (f(F.col("p"), F.col("b1")) - f(F.col("mine"), F.col("b1")))).alias("value"),
         )
-        values = base.unionByName(alone.groupBy(*key).agg(F.sum("value").alias("value"))).unionByName(self._shared())
+        values = base.unionByName(alone.groupBy(*key).agg(F.sum("value").alias("value"))).unionByName(self._shared(tile))
         summed = cut(values.groupBy(*key).agg(F.sum("value").alias("value")))
         both = summed.unionByName(summed.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
         name = lambda at, as_: groups.select("lang", F.col("place").alias(at), F.col("source").alias(as_))
@@ -189,20 +190,20 @@ class Audit:
         discard(summed)
         return out
 
-    def _shared(self) -> DataFrame:
+    def _shared(self, tile: int) -> DataFrame:
         """lang, a, b, value: what terms of both add to a pair of sources, beyond what each of them adds alone."""
         none = self.groups.select("lang", "place", "none")
         entry = F.struct("place", "p", "none")
         posting = (
             self.cells.join(none, ["lang", "place"])
             .repartition("lang", "term")
-            .groupBy("lang", "term", F.floor(F.col("place") / TILE).alias("tile"))
-            .agg(F.sort_array(F.collect_list(entry)).alias("of"))  # TILE entries at most
+            .groupBy("lang", "term", F.floor(F.col("place") / tile).alias("tile"))
+            .agg(F.sort_array(F.collect_list(entry)).alias("of"))  # a tile's entries at most
         )
         posting = cut(posting)
         other = posting.select("lang", "term", F.col("tile").alias("tile2"), F.col("of").alias("of2"))
         met = posting.join(other, ["lang", "term"]).filter("tile <= tile2").select("lang", "tile", "tile2", "of", "of2")
-        parts = met.mapInArrow(_pair_sums, "lang string, a int, b int, value bigint").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+        parts = met.mapInArrow(partial(_pair_sums, tile), "lang string, a int, b int, value bigint").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
         summed = cut(parts)
         discard(posting)
         return summed
@@ -213,13 +214,13 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d * d // (p + q)
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_sums(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tiles: dict[tuple[str, int, int], np.ndarray] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, i, j), sums in tiles.items():
             a, b = np.nonzero(sums)
-            columns = [pa.array([lang] * len(a), pa.string()), pa.array((a + i * TILE).astype(np.int32)), pa.array((b + j * TILE).astype(np.int32)), pa.array(sums[a, b])]
+            columns = [pa.array([lang] * len(a), pa.string()), pa.array((a + i * size).astype(np.int32)), pa.array((b + j * size).astype(np.int32)), pa.array(sums[a, b])]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "a", "b", "value"])
 
     def entries(column) -> tuple[np.ndarray, ...]:
@@ -235,14 +236,14 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, j = int(first[k]), int(second[k])
             tile = tiles.get((lang, i, j))
             if tile is None:
-                if len(tiles) * TILE * TILE >= CELLS:
+                if len(tiles) * size * size >= CELLS:
                     yield from out()
                     tiles.clear()
-                tile = tiles[lang, i, j] = np.zeros((TILE, TILE), np.int64)
+                tile = tiles[lang, i, j] = np.zeros((size, size), np.int64)
             x, y = slice(s1[k], s1[k + 1]), slice(s2[k], s2[k + 1])
             p, u, q, w = p1[x, None], none1[x, None], p2[None, y], none2[None, y]
             more = _f(p, q) - _f(p, w) - _f(u, q) + _f(u, w)
-            a, b = at1[x] - i * TILE, at2[y] - j * TILE
+            a, b = at1[x] - i * size, at2[y] - j * size
             if i == j:
                 more = np.where(a[:, None] < b[None, :], more, 0)
             tile[a[:, None], b[None, :]] += more
@@ -251,7 +252,7 @@ def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, **columns: str) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, tile: int = TILE, **columns: str) -> DataFrame:
     """lang, source, part (``pair`` or ``term``), item, value, rank.
 
     Null text, lang and source count as empty. Repeated rows: each is a document. A group
@@ -260,7 +261,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, **columns:
     Other columns, of any names, are not looked at. Empty table: no rows.
     """
     found = Audit(docs, min_docs, **columns)
-    terms, pairs = found.terms(top), found.pairs()
+    terms, pairs = found.terms(top), found.pairs(tile)
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "other"))
     out = pairs.select("lang", "source", F.lit("pair").alias("part"), F.col("other").alias("item"), "value", rank.alias("rank")).unionByName(
         terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
