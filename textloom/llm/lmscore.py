@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.divergence import bucket
 from textloom.llm.langid import bucket_of
 from textloom.llm.logbilinear import LogBilinear
 from textloom.llm.textvec import release, slices, texts_of
@@ -90,7 +91,8 @@ def token_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 class Vocabulary:
     """What the model tells apart, and the counts of the most frequent tokens.
 
-    ``names`` maps the ``known`` most frequent tokens to rows of ``counts`` and ``ids``; ids
+    ``names`` maps the most frequent tokens, ``known`` at most and all of a range of counts
+    or none, to rows of ``counts`` and ``ids``; the others' counts are in ranges up to ``rare_to``. Ids
     below ``words`` are tokens, the others classes. ``frequency`` and ``kinds`` are
     the tokens and distinct tokens of each id; n and v those of all.
     """
@@ -99,9 +101,18 @@ class Vocabulary:
         ending = F.when(F.length("token") < 2, F.col("token")).otherwise(F.expr("substring(token, -2, 2)"))
         # a row for each two bytes at most
         endings = counts.groupBy(ending.alias("ending")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-        top = counts.orderBy(F.desc("c"), "token").limit(known).collect()
+        # tokens by ranges of counts, a thousand at most; those of the highest ranges are known, ``known`` at most
+        ranges = counts.groupBy(bucket(F.col("c")).alias("bucket")).agg(F.count(F.lit(1)).alias("v")).collect()
+        self.rare_to, held = 0, 0
+        for r in sorted(ranges, reverse=True):
+            held += r["v"]
+            if held > known:
+                self.rare_to = r["bucket"]
+                break
+        top = counts.filter(bucket(F.col("c")) > self.rare_to).toArrow().to_pydict()
         ends = sum(r["c"] for r in endings if bytes(r["ending"]) == END)
-        listed = [(END, ends)] + [(w, r["c"]) for r in top if (w := bytes(r["token"])) != END]
+        listed = sorted(zip(top["token"], top["c"], strict=True), key=lambda x: (-x[1], x[0]))
+        listed = [(END, ends)] + [(w, c) for w, c in listed if w != END]
         self.n, self.v = sum(r["c"] for r in endings), sum(r["v"] for r in endings)
         self.words, self.classes = words, classes
         rest = {bytes(r["ending"]): [r["c"], r["v"]] for r in endings}
@@ -112,7 +123,6 @@ class Vocabulary:
         best = sorted((e for e in rest if rest[e][0]), key=lambda e: (-rest[e][0], e))[: classes - 1]
         self.endings = {e: words + i for i, e in enumerate(best)}
         self.names = {w: i for i, (w, _) in enumerate(listed)}
-        self.least = listed[-1][1] if len(top) == known else 0
         self.counts = np.array([c for _, c in listed], np.float64)
         self.ids = np.array([i if i < words else self.id_of_rare(w) for i, (w, _) in enumerate(listed)], np.int64)
         self.frequency, self.kinds = np.zeros(words + classes), np.zeros(words + classes)
@@ -244,7 +254,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         )
 
     first = cut(rows.mapInArrow(scored, _SCORED.format(id=rows.schema["doc_id"].dataType.simpleString())))
-    rest = counts.filter(F.col("c") <= vocabulary.least)
+    rest = counts.filter(bucket(F.col("c")) <= vocabulary.rare_to)
     rare = first.select("key", F.explode("rare").alias("r")).select("key", F.col("r.token").alias("token"), F.col("r.times").alias("times"))
     c = F.coalesce("c", F.lit(0))
     added = (
