@@ -339,6 +339,28 @@ def test_pipeline_of_odd_rows(spark, odd, empty):
         assert (docs.count() > 0) == (start is odd)
 
 
+def test_columns_of_any_names_pass_through_the_pipeline(spark, odd):
+    """Every helper name that a stage has used, and names with dots and spaces, as further columns."""
+    extra = ["__plan", "__block", "__drop", "__drop.lines", "site", "drops", "host", "lines", "stratum", "tokens", "order", "full", "cut", "block", "part", "c0", "c1"]
+    extra += ["own_id", "own_v", "class_id", "a.b", "two words", "lang_pred", "of", "rep", "v ", "count", "hash", "n", "size", "row", "piece"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumns({k: F.lit(k) for k in extra})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        if name != "packed":
+            assert out.columns == docs.columns
+            for r in out.limit(3).collect():
+                assert r[5:] == tuple(extra)
+            docs = out
+    assert out.count() > 0
+
+
+def test_language_keeps_every_entry_if_asked(spark):
+    words = [f"{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}q" for i in range(600)]
+    docs = spark.createDataFrame([(1, " ".join(words), "en"), (2, "und der", "de")], "doc_id bigint, text string, lang string")
+    sizes = [len(langid.fit(docs, F.lit(True), entries=n).tables[0][0].sorted) for n in (10, None)]
+    assert sizes == [12, 602]
+
+
 def test_copies_keep_one_whole_text(spark):
     """A group of copies of a third of each source, a pair of copies in a small source, and a true boilerplate line."""
     word = lambda *at: "w" + "x".join(map(str, at))

@@ -97,6 +97,16 @@ def test_exponent_for_entropy(spark):
         exponent(shares, None, None)
 
 
+def test_rows_without_an_id_meet_the_quota(spark):
+    rows = [(None, f"one two three w{i}", "small") for i in range(30)] + [(i, "one two three four", "big") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    n = Counter(r.source for r in mix(docs, max_repetition=1.6).collect())
+    # the small source is read 1.6 times at most against the big one's once; only a last block's remainder is left out
+    with_ids = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(1000) + F.xxhash64("text")))
+    assert n == Counter(r.source for r in mix(with_ids, max_repetition=1.6).collect()) and 30 < n["small"] < 120
+    assert Counter(r.source for r in mixed_blocks(docs, max_repetition=1.6).collect()) == n
+
+
 def test_mixture_of_odd_rows(odd, odd_rows, empty):
     out = mix(odd)
     assert out.columns == odd.columns

@@ -141,12 +141,16 @@ def fit(
     docs: DataFrame,
     train: Column,
     sample_docs: int = SAMPLE_DOCS,
-    entries: int = ENTRIES,
+    entries: int | None = ENTRIES,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> Model:
-    """Fit on texts and languages of the rows that meet ``train``."""
+    """Fit on texts and languages of the rows that meet ``train``; ``entries=None`` keeps every word and n-gram of the sample.
+
+    Null text or language: not learned from. Repeated rows and rows without an id: learned from like others
+    (rows without one are sampled together). Ties in counts: the lesser hash. Empty table: a model without languages.
+    """
     rows = docs.filter(train).select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("key")
     )
@@ -158,10 +162,9 @@ def fit(
         .agg(F.sum("count").alias("count"))
     )
     kind = Window.partitionBy("lang", "n")
-    best = counts.withColumn("place", F.row_number().over(kind.orderBy(F.desc("count"), "hash"))).filter(
-        F.col("place") <= entries
-    )
-    kept = best.drop("place").toPandas()
+    if entries is not None:
+        counts = counts.withColumn("place", F.row_number().over(kind.orderBy(F.desc("count"), "hash"))).filter(F.col("place") <= entries).drop("place")
+    kept = counts.toPandas()
     totals = kept.groupby(["lang", "n"])["count"].sum().reset_index(name="total") if len(kept) else pd.DataFrame({"lang": [], "n": [], "total": []})
     return Model(kept, totals)
 

@@ -57,40 +57,39 @@ def line_dedup(
     each other's text boilerplate. A line on fewer than ``least`` pages stays. Near
     copies count as separate pages.
     """
-    key = F.coalesce(F.concat(F.lit("="), host), F.lit("null"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    solid = F.filter(lines, lambda x: F.trim(x) != "")
-    pages = docs.select(key.alias("host"), F.array_distinct(F.transform(solid, _key)).alias("lines"))
+    # numbered names, so that columns of any names pass through
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.select("*", F.coalesce(F.concat(F.lit("="), host), F.lit("null")).alias("site")).toDF(*names, "site")
+    text = F.col(names[docs.columns.index(text_col)])
+    split = F.split(text, "\n", -1)
+    solid = F.filter(split, lambda x: F.trim(x) != "")
+    pages = inner.select("site", F.array_distinct(F.transform(solid, _key)).alias("lines"))
     if copies_once:
         pages = pages.distinct()
-    totals = pages.select("host").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    totals = pages.select("site").groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     held = (
-        pages.select("host", F.explode("lines").alias("line"))
-        .groupBy("host", "line")
+        pages.select("site", F.explode("lines").alias("line"))
+        .groupBy("site", "line")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter((F.col("n") >= ratio * min_pages) & (F.col("n") >= least))
     )
     boilerplate = cut(
-        held.join(totals, "host")
+        held.join(totals, "site")
         .filter((F.col("pages") >= min_pages) & (F.col("n") / F.col("pages") > ratio))
-        .groupBy("host")
-        .agg(F.collect_set("line").alias("lines"))
-        .select(F.struct("host", "lines").alias("__drop"))
+        .groupBy("site")
+        .agg(F.collect_set("line").alias("drops"))
     )
-    joined = docs.join(boilerplate, key == F.col("__drop.host"), "left")
-    split = F.split(docs[text_col], "\n", -1)
-    keep = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop.lines"), _key(x)))
-    kept = F.when(F.col("__drop").isNull(), split).otherwise(keep)
-    out = [
-        F.when(F.col("__drop").isNull(), docs[c]).otherwise(F.array_join(keep, "\n")).alias(c) if c == text_col else docs[c]
-        for c in docs.columns
-    ]
+    joined = inner.join(boilerplate, "site", "left")
+    keep = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains("drops", _key(x)))
+    kept = F.when(F.col("drops").isNull(), split).otherwise(keep)
+    whole = F.when(F.col("drops").isNull(), text).otherwise(F.array_join(keep, "\n"))
+    out = [whole if c == text_col else F.col(n) for c, n in zip(docs.columns, names, strict=True)]
     if counts:
         n = F.coalesce(F.size(split), F.lit(0)).cast("bigint")
-        n = F.when(docs[text_col].isNull(), F.lit(0).cast("bigint")).otherwise(n)
-        dropped = F.when(docs[text_col].isNull(), F.lit(0)).otherwise(F.size(split) - F.size(kept)).cast("bigint")
-        out += [n.alias("n_lines"), dropped.alias("n_dropped")]
-    return joined.select(*out)
+        n = F.when(text.isNull(), F.lit(0).cast("bigint")).otherwise(n)
+        dropped = F.when(text.isNull(), F.lit(0)).otherwise(F.size(split) - F.size(kept)).cast("bigint")
+        out += [n, dropped]
+    return joined.select(*out).toDF(*docs.columns, *(["n_lines", "n_dropped"] if counts else []))
 
 
 def op9_site_lines(spark, sf_dir):

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.sharding import hex_digits, seeded, stratum
@@ -67,6 +67,11 @@ def exponent(shares: DataFrame, max_repetition: float | None, target_entropy: fl
     return bisect(flat_enough, steps=20)
 
 
+def key_of(id_: Column, text: Column) -> Column:
+    """What a row is ordered by: its id, or a digest of its text if it has none."""
+    return F.coalesce(id_.cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
 def mix_plan(
     docs: DataFrame,
     max_repetition: float | None = MAX_REPETITION,
@@ -80,11 +85,12 @@ def mix_plan(
 
     plan: stratum, tokens, quota, full (whole blocks), rest (tokens of the last
     block), cut (the largest hash of the last block's permutation that still fits;
-    empty if none does). Rows that share a doc_id are kept or left together.
+    empty if none does). Rows of one key are kept or left together.
     """
     rows = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
+            key_of(F.col(id_col), F.col(text_col)).alias("key"),
             stratum(F.col(source_col).cast("string")).alias("stratum"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("tokens"),
         )
@@ -103,7 +109,7 @@ def mix_plan(
         .withColumn("rest", F.expr("if(tokens > 0, quota % tokens, 0L)"))
     )
     last = rows.join(plan.filter("rest > 0").select("stratum", "full", "rest"), "stratum").select(
-        "stratum", "rest", "tokens", seeded(seed, F.col("full"), F.col("doc_id")).alias("order")
+        "stratum", "rest", "tokens", seeded(seed, F.col("full"), F.col("key")).alias("order")
     )
     summed = accumulate(last, ["stratum"], n_rows)
     cuts = summed.filter("until <= rest").groupBy("stratum").agg(F.max("order").alias("cut"))
@@ -125,14 +131,14 @@ def accumulate(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
     )
 
 
-def appearances(full, cut_at, id_col, seed: str):
+def appearances(full: Column, cut_at: Column, key: Column, seed: str) -> Column:
     """The blocks a row appears in, as an array: every whole block, and the last if its hash is within the cut."""
     return F.when(
-        seeded(seed, full, id_col) <= cut_at, F.sequence(F.lit(0).cast("bigint"), full)
+        seeded(seed, full, key) <= cut_at, F.sequence(F.lit(0).cast("bigint"), full)
     ).otherwise(F.sequence(F.lit(0).cast("bigint"), full - 1))
 
 
-def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", **target) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **target) -> DataFrame:
     """``docs`` with every row as often as its source's quota says, columns unchanged.
 
     Texts are not shuffled: the decision is a hash compared with the source's cut.
@@ -140,21 +146,24 @@ def mix(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", source_col: s
     while Spark finds the plan small, else a sort-merge join that splits skewed keys.
 
     Null source: a source of its own. Null or blank text: no tokens; a source
-    without tokens is read once. Null doc_id: the hash of no key. Repeated rows:
-    appear together. Empty table: no rows.
+    without tokens is read once. Null doc_id: ordered by a digest of the text. Repeated rows:
+    appear together. Columns of any names pass through. Empty table: no rows.
     """
-    _, plan = mix_plan(docs, seed=seed, id_col=id_col, source_col=source_col, **target)
-    plan = plan.select(F.struct("stratum", "full", "cut").alias("__plan"))
-    joined = docs.join(plan, stratum(docs[source_col].cast("string")) == F.col("__plan.stratum"))
-    blocks = appearances(F.col("__plan.full"), F.col("__plan.cut"), docs[id_col], seed)
-    return joined.withColumn("__block", F.explode(blocks)).select(*[docs[c] for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.toDF(*names)
+    of = {k: names[docs.columns.index(c)] for k, c in (("id_col", id_col), ("text_col", text_col), ("source_col", source_col))}
+    _, plan = mix_plan(inner, seed=seed, **of, **target)
+    plan = plan.select("stratum", "full", "cut")
+    joined = inner.withColumn("stratum", stratum(F.col(of["source_col"]).cast("string"))).join(plan, "stratum")
+    blocks = appearances(F.col("full"), F.col("cut"), key_of(F.col(of["id_col"]), F.col(of["text_col"])), seed)
+    return joined.withColumn("block", F.explode(blocks)).select(*names).toDF(*docs.columns)
 
 
 def mixed_blocks(docs: DataFrame, seed: str = SEED, **target) -> DataFrame:
     """The mixture as rows: doc_id, source, tokens, block, and the tokens of the block up to the row's end.
 
     Null source: a source of its own. Null or blank text: no tokens; a source without
-    tokens is read once. Null doc_id: the hash of no key. Repeated rows and rows that
+    tokens is read once. Null doc_id: ordered by a digest of the text. Repeated rows and rows that
     share an id: appear together, and each counts the tokens of all of them. Texts of
     any length: counted whole. Empty table: no rows.
     """
@@ -162,8 +171,8 @@ def mixed_blocks(docs: DataFrame, seed: str = SEED, **target) -> DataFrame:
     n_rows = rows.count()
     each = (
         rows.join(plan.select("stratum", "full", "cut"), "stratum")
-        .withColumn("block", F.explode(appearances(F.col("full"), F.col("cut"), F.col("doc_id"), seed)))
-        .select("stratum", "block", "doc_id", "tokens", seeded(seed, F.col("block"), F.col("doc_id")).alias("order"))
+        .withColumn("block", F.explode(appearances(F.col("full"), F.col("cut"), F.col("key"), seed)))
+        .select("stratum", "block", "doc_id", "tokens", seeded(seed, F.col("block"), F.col("key")).alias("order"))
     )
     done = accumulate(each, ["stratum", "block"], n_rows)
     source = F.expr("if(stratum = 'null', null, substring(stratum, 2))")
@@ -176,7 +185,8 @@ def op3_temperature_mixing(spark, sf_dir):
 
 OP3_SQL = f"""
 WITH rows AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '\\S+')), 0)::BIGINT AS tokens FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '\\S+')), 0)::BIGINT AS tokens,
+    coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) AS key FROM documents
 ), shares AS (
   SELECT source, sum(tokens)::BIGINT AS tokens FROM rows GROUP BY source
 ), ends AS (
@@ -192,7 +202,7 @@ WITH rows AS (
          CASE WHEN tokens > 0 THEN quota % tokens ELSE 0 END AS rest FROM plan
 ), each AS (
   SELECT r.doc_id, r.source, r.tokens, b.block, whole, rest,
-         md5('{SEED}|' || b.block || '|' || coalesce(r.doc_id::VARCHAR, '')) AS h
+         md5('{SEED}|' || b.block || '|' || r.key) AS h
   FROM rows r JOIN cuts c ON r.source IS NOT DISTINCT FROM c.source
   CROSS JOIN LATERAL (SELECT unnest(range(0, c.whole + 1)) AS block) b
 ), done AS (
