@@ -61,7 +61,7 @@ def test_load_or_scan(spark, tmp_path):
 def test_porcelain(spark):
     text = ' M src/a.rs\n?? new.ts\nR  old.ts -> "b dir/new.ts"\n\nD  gone.rs'
     got = {(r.status, r.path, r.original) for r in S.porcelain(spark.createDataFrame([(x,) for x in text.split("\n")], "line string")).collect()}
-    assert got == {("M", "src/a.rs", None), ("?", "new.ts", None), ("R", "b dir/new.ts", "old.ts"), ("D", "gone.rs", None)}
+    assert got == {("M", "src/a.rs", None), ("??", "new.ts", None), ("R", "b dir/new.ts", "old.ts"), ("D", "gone.rs", None)}
 
 
 REPO = {

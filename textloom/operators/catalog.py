@@ -63,6 +63,6 @@ def report(views: str = "", sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers reports."""
-    from textloom.operators import catalogs, classify, graph, manifests, navigation, quality, ranking, sources  # noqa: F401
+    from textloom.operators import catalogs, classify, graph, imports, manifests, navigation, quality, ranking, sources  # noqa: F401
     from textloom.plans import edits, patches, symbols  # noqa: F401
     from textloom.streaming import upkeep  # noqa: F401

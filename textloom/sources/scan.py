@@ -8,6 +8,7 @@ rows differ from those already there.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -46,7 +47,7 @@ def scan(spark: SparkSession, root: str, max_file_size: int = MAX_FILE_SIZE, ign
     """files: file_id, ord, path, language, package, lines, size, hash, modified, text.
 
     Left out: larger files, files that are no UTF-8 text, and those in ignored
-    folders. Spark's file sources pass over empty files, so they have no row. The id
+    folders below ``root`` (folders above it may have any name). Spark's file sources pass over empty files, so they have no row. The id
     is a hash of the path, so it stays the same across scans and needs no numbering of
     all files in one task. A package is the group of folders that a path lies in.
     """
@@ -55,13 +56,21 @@ def scan(spark: SparkSession, root: str, max_file_size: int = MAX_FILE_SIZE, ign
     found = found.filter(F.is_valid_utf8(F.col("content").cast("string")))
     rows = found.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("h"), F.col("content").cast("string").alias("text"))
     if ignored:
-        rows = rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, ignored))))
+        folders = F.split(F.regexp_replace(below("path", root), r"[^/]*$", ""), "/")
+        rows = rows.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, ignored))))
     return rows.select(
         F.concat(F.lit("f"), F.substring(F.sha2("path", 256), 1, 12)).alias("file_id"), F.xxhash64("path").alias("ord"), "path", language_of(F.col("path")).alias("language"),
         names.group_path(F.col("path")).alias("package"), F.size(line_array("text")).cast("bigint").alias("lines"), "size", F.substring("h", 1, 8).alias("hash"), "modified", "text",
     )
 
 
+def below(path: str, root: str) -> Column:
+    """The part of a path that lies below ``root``; the whole path without its scheme if it does not."""
+    base = re.sub(r"^[A-Za-z][\w+.-]*:/*", "/", root.replace("\\", "/")).rstrip("/")
+    inside = F.regexp_replace(path, r"^[A-Za-z][\w+.-]*:/*", "/")
+    return F.when(inside.startswith(base + "/"), F.substring(inside, len(base) + 2, 1 << 20)).otherwise(inside)
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """name, kind, visibility, file_id, line, signature: declarations found line by line."""
     found = lines(files, "file_id", "language")
@@ -101,14 +110,13 @@ def imports(files: DataFrame) -> DataFrame:
 def porcelain(rows: DataFrame) -> DataFrame:
     """status, path, original of the lines (column ``line``) of ``git status --porcelain``.
 
-    The first of the two letters that is no space is the status; a rename names the
+    The status is both letters (index, then working tree) without spaces; a rename names the
     path it came from.
     """
     code, rest = F.trim(F.substring("line", 1, 2)), F.substring("line", 4, 1 << 20)
     clean = lambda x: F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit("\\"), F.lit("/"))
     parts = F.split(rest, " -> ")
-    status = F.when(code == "??", "?").otherwise(F.substring(code, 1, 1))
-    out = rows.filter(F.length("line") > 3).select(status.alias("status"), clean(F.element_at(parts, -1)).alias("path"), F.when(F.size(parts) > 1, clean(parts[0])).alias("original"))
+    out = rows.filter(F.length("line") > 3).select(code.alias("status"), clean(F.element_at(parts, -1)).alias("path"), F.when(F.size(parts) > 1, clean(parts[0])).alias("original"))
     return out.filter("path <> ''")
 
 
@@ -172,10 +180,7 @@ class ScannedRelations:
 def bound(spark: SparkSession, root: str, status: DataFrame | None = None, **options) -> ScannedRelations:
     """Scan a repository and bind its relations; paths are those below ``root``."""
     files = scan(spark, root, **options)
-    base = root.rstrip("/").replace("\\", "/")
-    inside = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    short = F.when(inside.startswith(base + "/"), F.substring(inside, len(base) + 2, 1 << 20)).otherwise(inside)
-    files = files.withColumn("path", short).withColumn("package", names.group_path(F.col("path")))
+    files = files.withColumn("path", below("path", root)).withColumn("package", names.group_path(F.col("path")))
     return ScannedRelations(spark, cut(files), status)
 
 
