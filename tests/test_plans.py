@@ -2,6 +2,7 @@
 
 import pytest
 
+from textloom.plans.groups import linked
 from textloom.plans import ops, patches
 
 LIB = "one\nfn start() {\n  body\n}\nlast\n"
@@ -127,6 +128,48 @@ def test_operations_see_those_before_them(spark, world):
     assert got["a/lib.rs"] == (LIB, "7 append_to_file missing file") and got["n/b.txt"] == (None, "5 copy_file missing file")
 
 
+def test_folders_and_assertions_in_order(spark, world):
+    """Folder rules hold, folders take what the plan made, assertions count, and a failure stops what it should."""
+    applied = lambda rows, **how: {r.path: (r.text, r.failed) for r in ops.apply_ops(plan(spark, *rows), *world, **how).collect()}
+    kept = applied([op("delete_dir", "a")])
+    assert kept == {"a": (None, "1 delete_dir folder not empty")}
+    inside = {p for _, p, _ in FILES if p.startswith("b/")}
+    made = applied([op("create_file", "b/new.ts", content="n\n"), op("delete_dir", "b", recursive=True)])
+    assert made == {p: (None, None) for p in {*inside, "b/new.ts"}}
+    nested = applied([op("create_file", "b/x/new.ts", content="n\n"), op("delete_dir", "b/x", recursive=True), op("delete_dir", "b", recursive=True), op("create_file", "b/again.ts", content="2\n")])
+    assert nested == {**{p: (None, None) for p in {*inside, "b/x/new.ts"}}, "b/again.ts": ("2\n", None)}
+    assert applied([op("create_dir", "fresh"), op("delete_dir", "fresh")]) == {}
+    assert applied([op("delete_dir", "none", recursive=True)]) == {"none": (None, "1 delete_dir missing folder")}
+    guarded = [op("assert_text_absent", "a/lib.rs", find="fn"), op("delete_file", "a/lib.rs"), op("append_to_file", "c.txt", content="end")]
+    whole = {p: t for _, p, t in FILES}
+    said = "1 assert_text_absent text found"
+    assert applied(guarded)["a/lib.rs"] == (LIB, said) and applied(guarded)["c.txt"] == (whole["c.txt"].rstrip("\n") + "\nend\n", None)
+    assert applied(guarded, on_error="skip")["a/lib.rs"] == (None, said)
+    assert applied(guarded, on_error="stop") == {None: (None, said)}
+    late = [op("append_to_file", "c.txt", content="end"), *guarded[:2]]
+    assert applied(late, on_error="stop") == {"c.txt": (whole["c.txt"].rstrip("\n") + "\nend\n", None), None: (None, "2 assert_text_absent text found")}
+    with pytest.raises(ValueError):
+        ops.apply_ops(plan(spark, *late), *world, on_error="go on")
+
+
+def test_a_count_over_all_files(spark, world):
+    n = sum(t.count("a.b") for _, _, t in FILES)
+    holding = {p: t for _, p, t in FILES if "a.b" in t}
+    got = {r.path: (r.text, r.failed) for r in ops.apply_ops(plan(spark, op("replace_field_access", None, find="a.b", content="a.c", count=n)), *world).collect()}
+    assert got == {p: (t.replace("a.b", "a.c"), None) for p, t in holding.items()} and n > 1
+    got = [(r.path, r.failed) for r in ops.apply_ops(plan(spark, op("replace_field_access", None, find="a.b", content="a.c", count=n + 1)), *world).collect()]
+    assert got == [(None, "1 replace_field_access count differs")]
+    got = [(r.path, r.failed) for r in ops.apply_ops(plan(spark, op("assert_text_absent", None, find="mark A")), *world).collect()]
+    assert got == [(None, "1 assert_text_absent text found")]
+
+
+def test_a_long_chain_of_links_is_one_group(spark):
+    rows = [(f"p{k:03}", f"p{k + 1:03}") for k in range(200)] + [("q1", "q2")]
+    got = {r.path: r.group for r in linked(spark.createDataFrame(rows, "a string, b string")).collect()}
+    assert len(got) == 203 and {g for p, g in got.items() if p[0] == "p"} == {"p000"} and got["q2"] == "q1"
+    assert linked(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 DIFF = """diff --git a/src/store.ts b/src/store.ts
 index 1..2 100644
 --- a/src/store.ts

@@ -3,8 +3,9 @@
 An operation is a row of ``PLAN`` columns. ``check_ops`` gives each the first rule
 it breaks, from the files as they are and from what earlier operations of the plan
 will have made or removed. ``apply_ops`` folds the operations of each group of paths
-(paths that copies and moves link) over the texts of the group, inside the JVM: an
-edit is an expression over the lines of a text, and a group is one row.
+(paths that copies, moves and operations on folders link) over the texts of the group,
+inside the JVM: an edit is an expression over the lines of a text, and a group is one
+row. Files under a deleted folder that no other operation names are counted, not read.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import line_array
+from textloom.plans.groups import linked
 from textloom.session import cut
 
 #: Columns of a plan. ``until``: the second anchor; ``count``: matches expected.
@@ -118,12 +120,19 @@ def between(lines: Column, first: Column, second: Column) -> tuple[Column, Colum
 
 
 def seen(op, text: Column) -> Column:
-    """What the rules and edits of an operation look at in a text: its lines, where things are found, its scope."""
-    head, scope, tail = scoped(F.split(text, "\n", -1), F.when(op["scope"].isNotNull() & (op["kind"] == "replace_text"), op["s_line"]), op["s_end"])
+    """What the rules and edits of an operation look at in a text: its lines, where things are found, its scope.
+
+    Each part is worked out for the kinds that use it, and is null for the others.
+    """
+    of = lambda kinds, value: F.when(op["kind"].isin(*kinds), value)
+    by_line = (*RANGE_KINDS, *SYMBOL_KINDS, "delete_symbol_if_exists", "replace_between_anchors")
+    scoped_kind = (op["kind"] == "replace_text") & op["scope"].isNotNull()
+    head, scope, tail = scoped(F.split(text, "\n", -1), F.when(scoped_kind, op["s_line"]), op["s_end"])
     first, second = between(line_array(text), op["find"], op["until"])
     anchored = op["kind"] == "replace_between_anchors"
     return F.struct(
-        text.alias("text"), line_array(text).alias("lines"), located(text, op["find"]).alias("find"), head.alias("head"), scope.alias("scope"), tail.alias("tail"),
+        text.alias("text"), of(by_line, line_array(text)).alias("lines"), of(("insert_before_text", "insert_after_text", "replace_text"), located(text, op["find"])).alias("find"),
+        F.when(scoped_kind, head).otherwise("").alias("head"), F.when(scoped_kind, scope).otherwise(text).alias("scope"), F.when(scoped_kind, tail).otherwise("").alias("tail"),
         F.when(anchored, first).alias("first"), F.when(anchored, second).alias("second"),
     )
 
@@ -283,75 +292,153 @@ def check_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: Dat
     return rows.select("op_id", "kind", "path", said.alias("verdict"))
 
 
-def expanded(ops: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
-    """Operations on folders and on all files as operations on each file."""
-    gone = ops.filter("kind = 'delete_dir'").select("op_id", F.col("path").alias("folder"))
-    under = files.select("path", F.explode(folders(F.col("path"))).alias("folder")).join(gone, "folder").select("op_id", F.lit("delete_file").alias("kind"), "path")
-    wide = ops.filter("kind = 'replace_field_access' AND path IS NULL").drop("path").withColumn("scope", F.coalesce("scope", F.lit("all")))
+WIDE_KINDS = ("replace_field_access", "assert_symbol_absent", "assert_text_absent")
+#: What a failed operation stops: the group of paths that its own is linked to, nothing but itself, or all operations after it.
+ON_ERROR = ("group", "skip", "stop")
+
+
+def wide(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(operations on each file, failures) of the operations that name no file.
+
+    They are judged by all files as they were before the plan. A count that holds for all
+    files together becomes each file's own.
+    """
+    unnamed = ops.filter(F.col("path").isNull() & F.col("kind").isin(*WIDE_KINDS))
+    found = unnamed.join(found_anywhere(ops, files, symbols, changed), "op_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    none = F.lit(None)
+    symbol_columns = {"s_n": F.lit(0), **{c: none.cast("bigint") for c in _SYMBOL[1:]}}
+    op = {c: F.col(c) if c in PLAN else symbol_columns[c] for c in (*PLAN, *_SYMBOL)}
+    text = F.lit(None).cast("string")
+    judged = cut(found.withColumn("rule", bind(seen(op, text), lambda t: verdict(op, t, F.lit(False), F.lit(False), F.col("found")))))
+    failures = judged.filter(F.col("rule") != OK).select("op_id", F.concat_ws(" ", F.col("op_id").cast("string"), "kind", "rule").alias("failed"))
+    spread = judged.filter((F.col("rule") == OK) & (F.col("kind") == "replace_field_access")).drop("path", "found", "rule").withColumn("scope", F.coalesce("scope", F.lit("all")))
     marked = files.select("file_id", "path", "text").join(changed.select("file_id", F.lit(True).alias("is_changed")).distinct(), "file_id", "left")
     scopes = F.explode(F.when(F.col("is_changed"), F.array(F.lit("all"), F.lit("changed"))).otherwise(F.array(F.lit("all"))))
-    each = marked.select("path", "text", scopes.alias("scope")).join(F.broadcast(wide), "scope").filter(F.contains("text", F.col("find")))
-    # how many are replaced was settled by the check over all files
-    each = each.drop("text", "scope")
-    rest = ops.filter("kind NOT IN ('create_dir', 'delete_dir', 'assert_symbol_absent', 'assert_text_absent') AND path IS NOT NULL")
-    return plan(rest).unionByName(plan(under)).unionByName(plan(each))
+    each = marked.select("path", "text", scopes.alias("scope")).join(F.broadcast(spread), "scope").filter(F.contains("text", F.col("find")))
+    own_count = F.when(F.col("count").isNotNull(), matches(F.col("text"), F.col("find")))
+    return plan(each.withColumn("count", own_count).drop("text", "scope")), failures
 
 
-def groups_of(ops: DataFrame) -> DataFrame:
-    """(path, group): paths that copies and moves link share a group, named by the least of them."""
-    links = ops.filter("target IS NOT NULL").select(F.col("path").alias("a"), F.col("target").alias("b"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    names = both.select(F.col("a").alias("path")).distinct().withColumn("group", F.col("path"))
-    while True:
-        near = both.join(names.select(F.col("path").alias("b"), F.col("group").alias("other")), "b").groupBy(F.col("a").alias("path")).agg(F.min("other").alias("other"))
-        new = names.join(near, "path").select("path", F.least("group", "other").alias("group"), (F.col("other") < F.col("group")).alias("moved"))
-        new = cut(new)
-        if new.filter("moved").isEmpty():
-            return new.select("path", "group")
-        names = new.select("path", "group")
-
-
-def apply_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: DataFrame) -> DataFrame:
+def apply_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: DataFrame, on_error: str = "group") -> DataFrame:
     """path, text, failed of every path that the plan touches, after its operations in order of op_id.
 
-    text is null where the file is gone (or never was). If an operation of a group
-    breaks a rule, the group stays as it was and ``failed`` names the first such
-    operation and the rule.
+    text is null where the file is gone (or never was). An operation that breaks a rule, an
+    assertion too, changes nothing; ``failed`` names it and the rule, for every path of its group.
+    ``on_error``: ``group``, the group stays as it was and only its first failure is named;
+    ``skip``, the operations after it run, and all failures are named; ``stop``, no operation of
+    the plan after the first failure runs. A failed operation that names no file has a row without a path.
+    A folder's row is there only to name a failure. ``delete_dir`` takes files that the plan itself made.
     """
-    ops = with_symbols(expanded(plan(ops), files, changed), files, symbols)
-    names = groups_of(ops)
+    if on_error not in ON_ERROR:
+        raise ValueError(f"on_error is one of {ON_ERROR}")
+    ops = plan(ops)
+    each, failures = wide(ops, files, symbols, changed)
+    todo = cut(with_symbols(ops.filter("path IS NOT NULL").unionByName(each), files, symbols))
+    failures = cut(failures)
+    if on_error == "stop":
+        folded = fold(todo, files, skip=True)
+        first = folded.select(F.explode("failures").alias("f")).select("f.op_id").unionByName(failures.select("op_id")).agg(F.min("op_id")).first()[0]
+        if first is not None:
+            named = folded.select("failures").unionByName(failures.select(F.array(F.struct("op_id", F.col("failed").alias("what"))).alias("failures")))
+            what = named.select(F.explode("failures").alias("f")).filter(F.col("f.op_id") == first).agg(F.min("f.what")).first()[0]
+            done = result(fold(todo.filter(F.col("op_id") < first), files, skip=True), files)
+            return done.unionByName(files.sparkSession.createDataFrame([(None, None, what)], "path string, text string, failed string"))
+    out = result(fold(todo, files, skip=on_error != "group"), files)
+    return out.unionByName(failures.select(F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("text"), "failed"))
+
+
+def fold(ops: DataFrame, files: DataFrame, skip: bool) -> DataFrame:
+    """paths, texts, end (texts, removed folders), failures of each group of linked paths.
+
+    ops: operations that name a path, with ``with_symbols``. A folder is in a map of
+    texts as its path with a slash.
+    """
+    folder_ops = ops.filter(F.col("kind").isin(*FOLDER_KINDS))
     touched = ops.select("path").unionByName(ops.filter("target IS NOT NULL").select(F.col("target").alias("path"))).distinct()
+    under = touched.select("path", F.explode(folders(F.col("path"))).alias("folder"))
+    links = ops.filter("target IS NOT NULL").select(F.col("path").alias("a"), F.col("target").alias("b"))
+    links = links.unionByName(under.join(folder_ops.select(F.col("path").alias("folder")).distinct(), "folder").filter("path <> folder").select(F.col("path").alias("a"), F.col("folder").alias("b")))
+    names = linked(links)
     touched = touched.join(names, "path", "left").select("path", F.coalesce("group", "path").alias("group"))
     state = touched.join(files.select("path", "text"), "path", "left").groupBy("group").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("path", "text")))).alias("texts"), F.collect_list("path").alias("paths")
     )
-    columns = [c for c in (*PLAN, *_SYMBOL)]
-    todo = ops.join(names, "path", "left").groupBy(F.coalesce("group", "path").alias("group")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("ops"))
+    others = untouched(folder_ops.select("path"), files, ops).groupBy("folder").agg(F.count(F.lit(1)).alias("others"))
+    rows = ops.join(others.withColumnRenamed("folder", "path"), "path", "left").na.fill(0, ["others"])
+    columns = [*PLAN, *_SYMBOL, "others"]
+    todo = rows.join(names, "path", "left").groupBy(F.coalesce("group", "path").alias("group")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("ops"))
 
     def put(texts: Column, path: Column, text: Column) -> Column:
         others = F.map_filter(texts, lambda k, v: k != path)
         return F.when(text.isNull(), others).otherwise(F.map_concat(others, F.create_map(path, text)))
 
+    def left_under(acc: Column, op: Column) -> Column:
+        """Files under an operation's folder that no other operation names, less those of folders removed before."""
+        above = F.exists(F.map_keys(acc["removed"]), lambda k: (op["path"] == k) | F.startswith(op["path"], F.concat(k, F.lit("/"))))
+        within = F.aggregate(F.map_entries(acc["removed"]), F.lit(0).cast("bigint"), lambda n, e: n + F.when(F.startswith(e["key"], F.concat(op["path"], F.lit("/"))), e["value"]).otherwise(0))
+        return F.when(above, F.lit(0).cast("bigint")).otherwise(op["others"] - within)
+
     def step(acc: Column, op: Column) -> Column:
         none = F.lit(None).cast("string")
         there = F.map_contains_key(acc["texts"], F.coalesce(op["target"], F.lit("")))
         gone = op["kind"].isin("delete_file", "move_file", "rename_file")
-        # (the rule it breaks, the text afterwards, the text before)
-        judged = bind(
-            seen(op, F.try_element_at(acc["texts"], op["path"])),
-            lambda t: F.struct(verdict(op, t, there, F.lit(False), F.lit(0)).alias("rule"), F.when(gone, none).otherwise(edited(op, t)).alias("text"), t["text"].alias("own")),
-        )
+        inside = F.filter(F.map_keys(acc["texts"]), lambda k: F.startswith(k, F.concat(op["path"], F.lit("/"))))
+        is_folder = op["kind"].isin(*FOLDER_KINDS)
+        # files under a folder, and whether it is there at all
+        held = F.when(is_folder, left_under(acc, op) + F.size(F.filter(inside, lambda k: ~k.endswith("/")))).otherwise(0)
+        stands = F.when(is_folder, (held > 0) | (F.size(inside) > 0)).otherwise(False)
+
+        def judge(t: Column) -> Column:
+            rule = verdict(op, t, there, stands, F.lit(0))
+            rule = F.when((op["kind"] == "delete_dir") & (rule == "folder not empty") & (held == 0), OK).otherwise(rule)
+            return F.struct(rule.alias("rule"), F.when(gone, none).otherwise(edited(op, t)).alias("text"), t["text"].alias("own"))
 
         def turned(x: Column) -> Column:
             after = put(acc["texts"], op["path"], x["text"])
             after = F.when(op["kind"].isin(*LINK_KINDS), put(after, F.coalesce(op["target"], F.lit("")), x["own"])).otherwise(after)
-            wrong = F.when(x["rule"] != OK, F.concat_ws(" ", op["op_id"].cast("string"), op["kind"], x["rule"]))
-            return F.struct(F.when(acc["failed"].isNotNull() | (x["rule"] != OK), acc["texts"]).otherwise(after).alias("texts"), F.coalesce(acc["failed"], wrong).alias("failed"))
-
-        return bind(judged, turned)
-
-    start = F.struct(F.col("texts"), F.lit(None).cast("string").alias("failed"))
+            after = F.when(op["kind"] == "create_dir", put(acc["texts"], F.concat(op["path"], F.lit("/")), F.lit(""))).otherwise(after)
+            without = F.map_filter(acc["texts"], lambda k, v: ~F.startswith(k, F.concat(op["path"], F.lit("/"))))
+            after = F.when(op["kind"] == "delete_dir", without).otherwise(after)
+            kept = F.map_filter(acc["removed"], lambda k, v: ~F.startswith(k, F.concat(op["path"], F.lit("/"))) & (k != op["path"]))
+            removed = F.when(op["kind"] == "delete_dir", F.map_concat(kept, F.create_map(op["path"], op["others"]))).otherwise(acc["removed"])
+            still = x["rule"] != OK if skip else (F.size(acc["failures"]) > 0) | (x["rule"] != OK)
+            wrong = F.array(F.struct(op["op_id"].alias("op_id"), F.concat_ws(" ", op["op_id"].cast("string"), op["kind"], x["rule"]).alias("what")))
+            noted = x["rule"] != OK if skip else (F.size(acc["failures"]) == 0) & (x["rule"] != OK)
+            return F.struct(
+                F.when(still, acc["texts"]).otherwise(after).alias("texts"), F.when(still, acc["removed"]).otherwise(removed).alias("removed"),
+                F.when(noted, F.concat(acc["failures"], wrong)).otherwise(acc["failures"]).alias("failures"),
+            )
+
+        return bind(bind(seen(op, F.try_element_at(acc["texts"], op["path"])), judge), turned)
+
+    start = F.struct(
+        F.col("texts"), F.create_map().cast("map<string, bigint>").alias("removed"), F.array().cast("array<struct<op_id: bigint, what: string>>").alias("failures"),
+    )
     ready = cut(state.join(todo, "group"))
-    done = ready.select("paths", "texts", F.aggregate("ops", start, step).alias("end"))
-    final = F.when(F.col("end.failed").isNull(), F.col("end.texts")).otherwise(F.col("texts"))
-    return done.select(F.explode("paths").alias("path"), final.alias("all"), F.col("end.failed").alias("failed")).select("path", F.try_element_at("all", F.col("path")).alias("text"), "failed")
+    is_folder = F.filter("ops", lambda o: o["kind"].isin(*FOLDER_KINDS))
+    done = ready.select("paths", "texts", F.transform(is_folder, lambda o: o["path"]).alias("folders"), F.aggregate("ops", start, step).alias("end"))
+    stays = F.lit(False) if skip else F.size("end.failures") > 0
+    return cut(done.select(
+        "paths", "folders", "texts", F.when(stays, F.col("texts")).otherwise(F.col("end.texts")).alias("final"),
+        F.when(stays, F.create_map().cast("map<string, bigint>")).otherwise(F.col("end.removed")).alias("removed"), F.col("end.failures").alias("failures"),
+    ))
+
+
+def untouched(folder_paths: DataFrame, files: DataFrame, ops: DataFrame) -> DataFrame:
+    """(path, folder): files under the folders that no operation names itself."""
+    named = ops.select("path").unionByName(ops.filter("target IS NOT NULL").select(F.col("target").alias("path"))).distinct()
+    inside = files.select("path", F.explode(folders(F.col("path"))).alias("folder")).join(folder_paths.select(F.col("path").alias("folder")).distinct(), "folder")
+    return inside.filter("path <> folder").join(named, "path", "left_anti").select("path", "folder")
+
+
+def result(folded: DataFrame, files: DataFrame) -> DataFrame:
+    """path, text, failed of what ``fold`` gives."""
+    failed = F.when(F.size("failures") > 0, F.array_join(F.transform("failures", lambda f: f["what"]), "; "))
+    rows = folded.select(F.explode("paths").alias("path"), "final", "folders", failed.alias("failed"))
+    only_folder = F.array_contains("folders", F.col("path"))
+    own = rows.filter(~only_folder | F.col("failed").isNotNull() | F.map_contains_key("final", F.col("path")))
+    own = own.select("path", F.try_element_at("final", F.col("path")).alias("text"), "failed")
+    removed = folded.select(F.explode(F.map_keys("removed")).alias("path"))
+    names = folded.select(F.explode("paths").alias("path"), F.lit(None).cast("string").alias("target"))
+    gone = untouched(removed, files, names).select("path").distinct()
+    return own.unionByName(gone.select("path", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("failed")))
