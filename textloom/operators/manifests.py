@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions.names import lexical
 from textloom.functions.text import lines
+from textloom.functions.trees import field_counts, nodes
+from textloom.functions.trees import field_values as tree_values
 from textloom.operators.catalog import report
+from textloom.session import cut
 
 #: Section and key of the lists that a plugin manifest may have (fixed values).
 PLUGIN_LISTS = (
@@ -51,15 +54,27 @@ def is_asset_path(value: Column) -> Column:
     return F.contains(value, F.lit("/")) | value.rlike(r"\.(png|jpg|json|yaml|yml)$")
 
 
+#: Keys that name files of assets, and those that are counted (fixed values).
+ASSET_FIELDS = ("path", "source", "image", "scene", "spritesheet", "font")
+COUNTED_FIELDS = ("spritesheet", "font", "scene")
+
+
+def asset_counts(manifests: DataFrame) -> DataFrame:
+    """field, n: how often each kind of asset is an entry of the manifests (path, text)."""
+    return field_counts(nodes(manifests), COUNTED_FIELDS).groupBy("field").agg(F.sum("n").alias("n"))
+
+
 def asset_check(manifests: DataFrame, raw: DataFrame) -> DataFrame:
     """finding, value: sources that do not exist, ids in several manifests, raw files that none names.
 
-    manifests: path, text; raw: path. A source is looked for beside its manifest.
+    manifests: path, text (YAML or JSON); raw: path. A source is looked for beside its manifest; it
+    may stand anywhere below a key of ``ASSET_FIELDS``, an id anywhere below ``id``.
     """
-    sources = field_values(manifests, ("source", "image", "file", "path"), "path").filter(is_asset_path(F.col("value")))
+    tree = cut(nodes(manifests))
+    sources = tree_values(tree, ASSET_FIELDS).filter(is_asset_path(F.col("value")))
     named = sources.select(lexical(F.concat(F.regexp_replace("path", r"[^/]*$", ""), "value")).alias("value"))
     missing = named.distinct().join(raw.select(F.col("path").alias("value")), "value", "left_anti")
-    twice = field_values(manifests, ("id",), "path").groupBy("value").agg(F.countDistinct("path").alias("n")).filter("n > 1")
+    twice = tree_values(tree, ("id",)).groupBy("value").agg(F.countDistinct("path").alias("n")).filter("n > 1")
     unused = raw.select(F.col("path").alias("value")).join(named, "value", "left_anti")
     mark = lambda df, what: df.select(F.lit(what).alias("finding"), "value")
     return mark(missing, "missing source").unionByName(mark(twice, "duplicate id")).unionByName(mark(unused, "unused raw"))
@@ -133,3 +148,24 @@ def operations_entries(rel):
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", section.alias("s")))), lambda x: x["s"]), "\n### ")
     logs = kept.groupBy(F.col("conv_id").alias("log_id")).agg(F.concat(F.lit("# Log\n### "), body).alias("text"))
     return log_entries(logs).filter("task <> 'Log'").select(F.col("log_id").alias("conv_id"), "nth", "task", "tokens")
+
+
+def conversation_trees(rel) -> DataFrame:
+    """conv_id, text: every conversation as a tree of its turns, as JSON (of even numbers) or YAML."""
+    rows = rel.read("conversations").filter("conv_id IS NOT NULL")
+    size = F.length("text")
+    item = F.concat(F.lit("  - role: '"), "role", F.lit("'\n    body: {chars: "), size, F.lit(", turn: "), "turn", F.lit("}\n"))
+    of = lambda x: F.array_sort(F.collect_list(F.struct("turn", x.alias("x"))))
+    turns = F.transform(of(F.struct("role", F.struct(size.alias("chars"), "turn").alias("body"))), lambda t: t["x"])
+    as_json = F.to_json(F.struct(F.struct(F.col("conv_id").alias("number"), turns.alias("turns")).alias("conversation")))
+    as_yaml = F.concat(F.lit("# a conversation\nconversation:\n  number: "), F.col("conv_id").cast("string"), F.lit("\n  turns:\n"), F.array_join(F.transform(of(item), lambda t: t["x"]), ""))
+    return rows.groupBy("conv_id").agg(F.when(F.col("conv_id") % 2 == 0, as_json).otherwise(as_yaml).alias("text"))
+
+
+@report("", """SELECT conv_id, 'role' AS field, role AS value, count(*) AS n FROM conversations GROUP BY ALL UNION ALL SELECT conv_id, 'number', conv_id::VARCHAR, 1 FROM conversations GROUP BY conv_id
+  UNION ALL SELECT conv_id, 'body', v, count(*) FROM (SELECT conv_id, unnest([length(text)::VARCHAR, turn::VARCHAR]) AS v FROM conversations) GROUP BY ALL
+  UNION ALL SELECT conv_id, 'chars', length(text)::VARCHAR, count(*) FROM conversations GROUP BY ALL""")
+def tree_fields(rel):
+    """What stands below four keys of each conversation's tree, at any depth."""
+    found = tree_values(nodes(conversation_trees(rel), "conv_id"), ("role", "number", "body", "chars"))
+    return found.groupBy("conv_id", "field", "value").agg(F.count(F.lit(1)).alias("n"))
