@@ -15,8 +15,8 @@ from __future__ import annotations
 import numpy as np
 
 WIDTH = 16
-CONTEXT = 5
-NOISE = 32
+CONTEXT = 4
+NOISE = 24
 BATCH = 1024
 RATE = 0.2
 NAMES = ("given", "output", "bias", "weights")
@@ -113,14 +113,16 @@ class LogBilinear:
     def log_probabilities(self, texts: list[np.ndarray]) -> np.ndarray:
         """The natural log-probability of every token of the texts, one text after the other."""
         ids = self.laid_out(texts)
-        output, ones = np.ascontiguousarray(self.output.T), np.ones(self.size, np.float32)
+        # the bias is one more component, by which every predicted vector has 1
+        output, ones = np.concatenate([self.output.T, self.bias[None, :]]), np.ones(self.size, np.float32)
         out, scores = np.empty(len(ids) - self.context), np.empty((BATCH, self.size), np.float32)
         for first in range(self.context, len(ids), BATCH):
             window = ids[first - self.context : first + BATCH]
             true = window[self.context :]
             n = len(true)
-            s = np.dot(self.predicted(self.given[window]), output, out=scores[:n])
-            s += self.bias
+            hidden = np.ones((n, len(output)), np.float32)
+            hidden[:, :-1] = self.predicted(self.given[window])
+            s = np.dot(hidden, output, out=scores[:n])
             mine = s[np.arange(n), np.minimum(true, self.size - 1)].astype(np.float64)
             if s.max() > 60:  # the sum of exponentials could overflow
                 top = s.max(axis=1, keepdims=True)
