@@ -65,4 +65,5 @@ def load() -> None:
     """Import every module that registers reports."""
     from textloom.operators import catalogs, classify, graph, imports, manifests, navigation, quality, ranking, sources  # noqa: F401
     from textloom.plans import edits, patches, raw, symbols  # noqa: F401
+    from textloom.sources import snapshots  # noqa: F401
     from textloom.streaming import debounce, upkeep  # noqa: F401
