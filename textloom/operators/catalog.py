@@ -63,7 +63,7 @@ def report(views: str = "", sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers reports."""
-    from textloom.operators import catalogs, classify, donors, graph, imports, manifests, navigation, quality, ranking, reading, sources  # noqa: F401
+    from textloom.operators import catalogs, classify, donors, graph, imports, manifests, navigation, quality, ranking, reading, sources, suggest  # noqa: F401
     from textloom.plans import edits, patches, raw, symbols  # noqa: F401
     from textloom.sources import snapshots  # noqa: F401
     from textloom.streaming import debounce, upkeep  # noqa: F401
