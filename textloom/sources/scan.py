@@ -87,19 +87,29 @@ def ranges(found: DataFrame, files: DataFrame) -> DataFrame:
     """Symbols with line_end, body_open_line and body_close_line, by the braces of their file.
 
     A body opens on the first line from the symbol on that has a brace, unless a line
-    ends the declaration before, and closes where the depth is again what it was.
+    ends the declaration before, and closes where the depth is again what it was. Lines carry
+    the next such line upwards; a line that closes depths is a row for each of them, which the
+    symbols of that depth meet in one sort, so nothing grows with symbols times lines.
     """
-    order = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("file_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
+    change = extract.depth(F.col("line"))
     rows = lines(files.join(found.select("file_id").distinct(), "file_id", "left_semi"), "file_id")
-    rows = rows.select("file_id", "line_no", F.sum(extract.depth(F.col("line"))).over(order).alias("after"), F.contains("line", F.lit("{")).alias("opens"), F.col("line").rlike(r";\s*$").alias("ends"))
-    depths = rows.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "after", "opens", "ends"))).alias("d"))
-    before = F.coalesce(F.get(F.col("d"), (F.col("line") - 2).cast("int"))["after"], F.lit(0))
-    first = F.get(F.filter("d", lambda x: (x["line_no"] >= F.col("line")) & (x["opens"] | x["ends"])), F.lit(0))
-    joined = found.join(depths, "file_id", "left").withColumn("depth", F.when(F.col("line") > 1, before).otherwise(0))
-    joined = joined.withColumn("body_open_line", F.when(first["opens"], first["line_no"]))
-    close = F.get(F.filter("d", lambda x: (x["line_no"] >= F.col("body_open_line")) & (x["after"] <= F.col("depth"))), F.lit(0))["line_no"]
-    joined = joined.withColumn("body_close_line", close).withColumn("line_end", F.coalesce("body_close_line", "line"))
-    return joined.drop("d", "depth")
+    rows = rows.select("file_id", "line_no", change.alias("change"), F.sum(change).over(down).alias("after"), F.contains("line", F.lit("{")).alias("opens"), F.col("line").rlike(r";\s*$").alias("ends"))
+    stop = F.when(F.col("opens") | F.col("ends"), F.struct("line_no", "opens", "after"))
+    rows = rows.select("file_id", F.col("line_no").alias("line"), (F.col("after") - F.col("change")).alias("depth"), "after", F.last(stop, ignorenulls=True).over(up).alias("stop"))
+    named = found.withColumn("s", F.struct(*found.columns)).select("file_id", "line", "s").join(rows.drop("after"), ["file_id", "line"], "left")
+    opened = F.when(F.col("stop.opens"), F.col("stop.line_no"))
+    named = named.select("file_id", F.col("depth"), opened.alias("opened"), F.when(opened.isNotNull() & (F.col("stop.after") <= F.col("depth")), opened).alias("at_once"), "s")
+    closes = rows.filter(F.col("after") < F.col("depth")).select("file_id", F.explode(F.sequence("after", F.col("depth") - 1)).alias("depth"), F.col("line").alias("closed"))
+    waiting = named.filter("opened IS NOT NULL AND at_once IS NULL").select("file_id", "depth", F.col("opened").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("closed"), "opened", "s")
+    none = F.lit(None)
+    marks = closes.select("file_id", "depth", F.col("closed").alias("at"), F.lit(1).alias("side"), "closed", none.cast("bigint").alias("opened"), none.cast(found.select(F.struct(*found.columns)).schema[0].dataType).alias("s"))
+    below_it = Window.partitionBy("file_id", "depth").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    met = waiting.unionByName(marks).withColumn("closed", F.last("closed", ignorenulls=True).over(below_it)).filter("side = 0").select("s", "opened", "closed")
+    rest = named.filter("opened IS NULL OR at_once IS NOT NULL").select("s", "opened", F.col("at_once").alias("closed"))
+    out = met.unionByName(rest).select("s.*", F.col("opened").alias("body_open_line"), F.col("closed").alias("body_close_line"))
+    return out.withColumn("line_end", F.coalesce("body_close_line", "line"))
 
 
 def imports(files: DataFrame) -> DataFrame:
