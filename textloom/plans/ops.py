@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.substrings import holders
 from textloom.functions.text import line_array
 from textloom.plans.groups import linked
 from textloom.session import cut
@@ -33,7 +34,8 @@ TEXT_KINDS = ("insert_before_text", "insert_after_text", "replace_text", "replac
 RANGE_KINDS = ("replace_range", "delete_range")
 ANCHOR_KINDS = ("insert_before_anchor", "insert_after_anchor", "replace_between_anchors")
 SYMBOL_KINDS = ("replace_symbol", "delete_symbol", "insert_before_symbol", "insert_after_symbol", "replace_method_body")
-ABSENCE_KINDS = ("delete_symbol_if_exists", "assert_symbol_absent", "assert_text_absent")
+ASSERTIONS = ("assert_symbol_absent", "assert_text_absent")
+ABSENCE_KINDS = ("delete_symbol_if_exists", *ASSERTIONS)
 KINDS = (*FILE_KINDS, *LINK_KINDS, *FOLDER_KINDS, *TEXT_KINDS, *RANGE_KINDS, *ANCHOR_KINDS, *SYMBOL_KINDS, *ABSENCE_KINDS)
 OK = "ok"
 
@@ -253,20 +255,29 @@ def folders(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
 
-def found_anywhere(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: DataFrame) -> DataFrame:
-    """(op_id, found): matches of operations that name no file, in all files or (scope ``changed``) in the changed ones.
+def searched(ops: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
+    """ops (find, scope, ...) joined with file_id, path, text of the files of their scope that contain what they look for.
 
-    The plan is what a user wrote, so its few rows of this kind go to the files.
+    All needles are searched in one pass over the texts; only files that hold one meet the operations.
     """
-    wide = ops.filter(F.col("path").isNull() & F.col("kind").isin("replace_field_access", "assert_text_absent")).select("op_id", "find", F.coalesce("scope", F.lit("all")).alias("scope"))
-    marked = files.select("file_id", "text").join(changed.select("file_id", F.lit(True).alias("is_changed")).distinct(), "file_id", "left")
-    scopes = F.explode(F.when(F.col("is_changed"), F.array(F.lit("all"), F.lit("changed"))).otherwise(F.array(F.lit("all"))))
-    # each text is searched once for a needle, however many operations ask for it
-    needles = wide.select("find", "scope").distinct()
-    counts = marked.select("text", scopes.alias("scope")).join(F.broadcast(needles), "scope").groupBy("find", "scope").agg(F.sum(matches(F.col("text"), F.col("find"))).alias("found"))
-    texts = wide.join(counts, ["find", "scope"]).select("op_id", "found")
+    held = holders(files, ops.select(F.col("find").alias("needle"))).withColumnRenamed("needle", "find")
+    marked = held.join(changed.select("file_id", F.lit(True).alias("is_changed")).distinct(), "file_id", "left")
+    scope = F.coalesce("scope", F.lit("all"))
+    met = ops.join(marked, "find").filter((scope == "all") | ((scope == "changed") & F.col("is_changed"))).drop("is_changed")
+    return met.join(files.select("file_id", "path", "text"), "file_id")
+
+
+def found_anywhere(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: DataFrame) -> DataFrame:
+    """(op_id, found): matches of operations that name no file, in all files or (scope ``changed``) in the changed ones."""
     names = ops.filter(F.col("path").isNull() & (F.col("kind") == "assert_symbol_absent")).select("op_id", "symbol")
     same = names.join(symbols.select(F.col("name").alias("symbol")), "symbol").groupBy("op_id").agg(F.count(F.lit(1)).alias("found"))
+    wide = ops.filter(F.col("path").isNull() & F.col("kind").isin("replace_field_access", "assert_text_absent")).select("op_id", "find", "scope")
+    if wide.isEmpty():
+        return same
+    # each text is searched once for a needle and scope, however many operations ask for them
+    asked = wide.select("find", F.coalesce("scope", F.lit("all")).alias("scope")).distinct()
+    counts = searched(asked, files, changed).groupBy("find", "scope").agg(F.sum(matches(F.col("text"), F.col("find"))).alias("found"))
+    texts = wide.withColumn("scope", F.coalesce("scope", F.lit("all"))).join(counts, ["find", "scope"]).select("op_id", "found")
     return texts.unionByName(same)
 
 
@@ -311,12 +322,12 @@ def wide(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: DataFram
     text = F.lit(None).cast("string")
     judged = cut(found.withColumn("rule", bind(seen(op, text), lambda t: verdict(op, t, F.lit(False), F.lit(False), F.col("found")))))
     failures = judged.filter(F.col("rule") != OK).select("op_id", F.concat_ws(" ", F.col("op_id").cast("string"), "kind", "rule").alias("failed"))
-    spread = judged.filter((F.col("rule") == OK) & (F.col("kind") == "replace_field_access")).drop("path", "found", "rule").withColumn("scope", F.coalesce("scope", F.lit("all")))
-    marked = files.select("file_id", "path", "text").join(changed.select("file_id", F.lit(True).alias("is_changed")).distinct(), "file_id", "left")
-    scopes = F.explode(F.when(F.col("is_changed"), F.array(F.lit("all"), F.lit("changed"))).otherwise(F.array(F.lit("all"))))
-    each = marked.select("path", "text", scopes.alias("scope")).join(F.broadcast(spread), "scope").filter(F.contains("text", F.col("find")))
+    spread = judged.filter((F.col("rule") == OK) & (F.col("kind") == "replace_field_access")).drop("path", "found", "rule")
+    if spread.isEmpty():
+        return spread.withColumn("path", F.lit(None).cast("string")).transform(plan), failures
+    each = searched(spread, files, changed)
     own_count = F.when(F.col("count").isNotNull(), matches(F.col("text"), F.col("find")))
-    return plan(each.withColumn("count", own_count).drop("text", "scope")), failures
+    return plan(each.withColumn("count", own_count).drop("text", "scope", "file_id")), failures
 
 
 def apply_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: DataFrame, on_error: str = "group") -> DataFrame:
@@ -327,7 +338,7 @@ def apply_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: Dat
     ``on_error``: ``group``, the group stays as it was and only its first failure is named;
     ``skip``, the operations after it run, and all failures are named; ``stop``, no operation of
     the plan after the first failure runs. A failed operation that names no file has a row without a path.
-    A folder's row is there only to name a failure. ``delete_dir`` takes files that the plan itself made.
+    A folder, or a file that is only asserted about, has a row only to name a failure. ``delete_dir`` takes files that the plan itself made.
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error is one of {ON_ERROR}")
@@ -415,11 +426,13 @@ def fold(ops: DataFrame, files: DataFrame, skip: bool) -> DataFrame:
         F.col("texts"), F.create_map().cast("map<string, bigint>").alias("removed"), F.array().cast("array<struct<op_id: bigint, what: string>>").alias("failures"),
     )
     ready = cut(state.join(todo, "group"))
-    is_folder = F.filter("ops", lambda o: o["kind"].isin(*FOLDER_KINDS))
-    done = ready.select("paths", "texts", F.transform(is_folder, lambda o: o["path"]).alias("folders"), F.aggregate("ops", start, step).alias("end"))
+    changes = F.filter("ops", lambda o: ~o["kind"].isin(*FOLDER_KINDS, *ASSERTIONS))
+    changing = F.flatten(F.transform(changes, lambda o: F.array_compact(F.array(o["path"], o["target"]))))
+    named = F.transform(F.filter("ops", lambda o: o["kind"].isin(*FOLDER_KINDS)), lambda o: o["path"])
+    done = ready.select("paths", "texts", changing.alias("changing"), named.alias("folders"), F.aggregate("ops", start, step).alias("end"))
     stays = F.lit(False) if skip else F.size("end.failures") > 0
     return cut(done.select(
-        "paths", "folders", "texts", F.when(stays, F.col("texts")).otherwise(F.col("end.texts")).alias("final"),
+        "paths", "changing", "folders", "texts", F.when(stays, F.col("texts")).otherwise(F.col("end.texts")).alias("final"),
         F.when(stays, F.create_map().cast("map<string, bigint>")).otherwise(F.col("end.removed")).alias("removed"), F.col("end.failures").alias("failures"),
     ))
 
@@ -434,9 +447,10 @@ def untouched(folder_paths: DataFrame, files: DataFrame, ops: DataFrame) -> Data
 def result(folded: DataFrame, files: DataFrame) -> DataFrame:
     """path, text, failed of what ``fold`` gives."""
     failed = F.when(F.size("failures") > 0, F.array_join(F.transform("failures", lambda f: f["what"]), "; "))
-    rows = folded.select(F.explode("paths").alias("path"), "final", "folders", failed.alias("failed"))
-    only_folder = F.array_contains("folders", F.col("path"))
-    own = rows.filter(~only_folder | F.col("failed").isNotNull() | F.map_contains_key("final", F.col("path")))
+    rows = folded.select(F.explode("paths").alias("path"), "final", "changing", "folders", "removed", failed.alias("failed"))
+    deleted = F.exists(F.map_keys("removed"), lambda k: F.startswith(F.col("path"), F.concat(k, F.lit("/"))))
+    deleted = deleted & ~F.array_contains("folders", F.col("path"))
+    own = rows.filter(F.array_contains("changing", F.col("path")) | deleted | F.col("failed").isNotNull())
     own = own.select("path", F.try_element_at("final", F.col("path")).alias("text"), "failed")
     removed = folded.select(F.explode(F.map_keys("removed")).alias("path"))
     names = folded.select(F.explode("paths").alias("path"), F.lit(None).cast("string").alias("target"))
