@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from textloom.llm.textvec import release
 from textloom.session import cut, discard, table
 
-#: Members of a base's first turns at most, and the ids that share a base.
+#: Turns that a conversation takes from its base at most, and how many ids share a base.
 MOST_LEAD = 5
 BASE = 100
 #: Parts in which distinct keys are numbered; the driver gets one count for each.
@@ -170,13 +170,13 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     Very long texts: named whole. Other columns, of any names, are not looked at. Empty table: no node, no rows.
     """
     turns, convs = rebuilt(conversations)
-    n_convs, root, longest = convs.agg(F.count(F.lit(1)), F.min("conv"), F.lit(0)).first()
+    n_convs, root = convs.agg(F.count(F.lit(1)), F.min("conv")).first()
     longest = turns.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
     spark = turns.sparkSession
     prefixes = named_prefixes(turns, longest)
     nodes = prefixes.groupBy("depth", "name").agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv").alias("rep"), F.max("chars").alias("chars"))
     nodes = cut(nodes)
-    #: The node of each conversation at each depth, by its smallest member.
+    # the node of each conversation at each depth, by its smallest member
     chain = cut(prefixes.join(nodes.select("depth", "name", "rep"), ["depth", "name"]).select("conv", "depth", "rep"))
     discard(turns, prefixes)
     top = spark.createDataFrame([(0, n_convs, root, 0)] if n_convs else [], "depth bigint, n_convs bigint, rep bigint, chars bigint")
@@ -188,8 +188,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
         found = rows.filter(F.col("depth") >= up).join(at, ["depth", "rep"], "left")
         return found.withColumn("above", F.coalesce("above", F.lit(root).cast("bigint")))
 
-    parents = ancestors(nodes_and_root, 1).select("depth", "rep", F.col("above").alias("parent"))
-    parents = cut(parents)
+    parents = cut(ancestors(nodes_and_root, 1).select("depth", "rep", F.col("above").alias("parent")))
     children = parents.groupBy((F.col("depth") - 1).alias("depth"), F.col("parent").alias("rep")).agg(F.count(F.lit(1)).alias("n_children"))
     base = nodes_and_root.join(children, ["depth", "rep"], "left").join(parents, ["depth", "rep"], "left")
     base = cut(base.withColumn("n_children", F.coalesce("n_children", F.lit(0))))
