@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import names as N
 from textloom.functions import substrings as S
 from textloom.operators import imports as I
 from textloom.sources.scan import bound, porcelain, scan
@@ -105,3 +106,16 @@ def test_status_keeps_both_letters(spark):
     got = [(r.status, r.path, r.original) for r in porcelain(spark.createDataFrame([(x,) for x in lines], "line string")).collect()]
     assert got[:5] == [("??", "new.txt", None), ("MM", "both.txt", None), ("AM", "added.txt", None), ("M", "tree.txt", None), ("M", "index.txt", None)]
     assert got[5] == ("R", "new name.txt", "old.txt") and got[6][0] == "D"
+
+
+def test_a_module_is_named_in_one_pass_and_sought_once(spark):
+    pairs = spark.createDataFrame([("a/b/x.ts", "a/c/y.ts"), ("a/x.ts", "a/y/index.ts"), ("a/b/x.ts", "a/b"), ("x", "y.tsx.ts"), ("a/index.ts", "a/index.ts")], "path string, to string")
+    named = pairs.select(N.relative_module(F.col("path"), F.col("to")).alias("specifier"))
+    assert [r.specifier for r in named.collect()] == ["../c/y", "./y", "./", "./y", "./"]
+    # a value that many others need is no copy of its expression for each of them
+    assert named._jdf.queryExecution().optimizedPlan().toString().count("zip_with") == 1
+    imports = spark.createDataFrame([("a/x.ts", 1, "./y"), ("a/z.ts", 2, "./y"), ("b/x.ts", 3, "../a/y"), ("b/x.ts", 4, "./gone"), ("b/x.ts", 5, "./none"), ("b/x.ts", 5, "./none"), ("b/x.ts", 6, "out"), (None, 7, "./y")], "path string, line int, specifier string")
+    files = spark.createDataFrame([("a/y.ts", 0), ("a/none.tsx", 1)], "path string, ord int")
+    status = spark.createDataFrame([("D", "b/gone.ts")], "status string, path string")
+    got = sorted((r.line, r.finding, r.target, r.candidate) for r in I.check_imports(imports, files, status).collect())
+    assert got == [(1, "found", "a/y.ts", None), (2, "found", "a/y.ts", None), (3, "found", "a/y.ts", None), (4, "stale", "b/gone.ts", None)] + 2 * [(5, "broken", None, "a/none.tsx")] + [(7, "broken", None, "a/y.ts")]

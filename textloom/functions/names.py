@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import ascii_lower, identifier
+from textloom.functions.text import ascii_lower, bind, identifier
 
 #: Part of a path and the feature group it stands for, the first that holds (fixed values).
 FEATURES = (
@@ -149,19 +149,32 @@ def relative_module(source: Column, target: Column) -> Column:
     folder = F.slice(folder, F.lit(1), F.size(folder) - 1)
     parts = F.split(target, "/")
     parts = F.when(F.element_at(parts, -1).isin("index.ts", "index.tsx"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    alike = F.zip_with(folder, parts, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(alike, False)
-    k = F.when(first == 0, F.least(F.size(folder), F.size(parts))).otherwise(first - 1).cast("int")
-    up, down = F.size(folder) - k, F.filter(parts, lambda x, i: i >= k)
-    path = F.concat(F.repeat(F.lit("../"), up), F.array_join(down, "/"))
-    bare = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"(\.tsx?)+$", "")
-    named = F.when(bare.startswith("."), bare).otherwise(F.concat(F.lit("./"), bare))
-    return F.when((up == 0) & (F.size(down) == 0), "./").when(F.size(down) > 0, named)
+    # the folders that both share, counted; each step is worked out once for a pair
+    alike = lambda x: F.zip_with(x["folder"], x["parts"], lambda a, b: F.coalesce(a == b, F.lit(False)))
+    shared = lambda x: (F.array_position(F.concat(alike(x), F.array(F.lit(False))), False) - 1).cast("int")
+
+    def named(x: Column, k: Column) -> Column:
+        up, down = F.size(x["folder"]) - k, F.slice(x["parts"], k + 1, F.size(x["parts"]))
+        path = F.concat(F.repeat(F.lit("../"), up), F.array_join(down, "/"))
+        bare = F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"(\.tsx?)+$", "")
+        name = bind(bare, lambda p: F.when(p.startswith("."), p).otherwise(F.concat(F.lit("./"), p)))
+        rest = F.size(x["parts"]) - k
+        return F.when((up == 0) & (rest == 0), "./").when(rest > 0, name)
+
+    return bind(F.struct(folder.alias("folder"), parts.alias("parts")), lambda x: bind(shared(x), lambda k: named(x, k)))
+
+
+def module_base(source: Column, specifier: Column) -> Column:
+    """The path that a relative specifier of the file ``source`` leads to, as it stands."""
+    return lexical(F.concat(F.regexp_replace(source, r"[^/]*$", ""), specifier))
+
+
+def candidates(base: Column) -> Column:
+    """Files that a path in place of a module may mean, in order of preference."""
+    stem = F.regexp_replace(base, r"\.[^./]*$", "")
+    return F.array(base, F.concat(stem, F.lit(".ts")), F.concat(stem, F.lit(".tsx")), F.concat(base, F.lit("/index.ts")), F.concat(base, F.lit("/index.tsx")))
 
 
 def module_candidates(source: Column, specifier: Column) -> Column:
     """Files that a relative specifier may mean, in order of preference; none for other specifiers."""
-    base = lexical(F.concat(F.regexp_replace(source, r"[^/]*$", ""), specifier))
-    stem = F.regexp_replace(base, r"\.[^./]*$", "")
-    tries = F.array(base, F.concat(stem, F.lit(".ts")), F.concat(stem, F.lit(".tsx")), F.concat(base, F.lit("/index.ts")), F.concat(base, F.lit("/index.tsx")))
-    return F.when(specifier.startswith("."), tries).otherwise(F.array().cast("array<string>"))
+    return F.when(specifier.startswith("."), bind(module_base(source, specifier), candidates)).otherwise(F.array().cast("array<string>"))

@@ -9,6 +9,7 @@ from textloom.functions import names as N
 from textloom.functions.substrings import containing, endings, holders
 from textloom.functions.text import line_array
 from textloom.operators.catalog import report
+from textloom.session import cut
 
 #: Endings and parts of paths that a program starts from (fixed values).
 ENTRY_ENDS = ("/main.rs", "/lib.rs", "/mod.rs", "/main.tsx", "/index.ts", "/index.tsx")
@@ -132,23 +133,29 @@ def check_imports(imports: DataFrame, files: DataFrame, status: DataFrame, chang
     means is deleted, whether a file or not; ``broken`` if there is no such file, with the
     first TypeScript file that contains its last part as ``candidate``. reach: ``deep`` if it climbs two folders.
     """
-    rows = imports.filter(F.startswith("specifier", F.lit(".")))
+    rows, relative = imports, F.startswith("specifier", F.lit("."))
     if changed_only:
         rows = rows.join(status.select("path").distinct(), "path", "left_semi")
-    rows = rows.withColumn("key", F.struct("path", "line", "specifier"))
-    tries = rows.select("key", F.posexplode(N.module_candidates(F.col("path"), F.col("specifier"))).alias("preference", "candidate"))
+    # what an import means depends on the file it leads to alone: each such file is looked for once, however many name it
+    rows = cut(rows.select("path", "line", "specifier", F.when(relative, N.module_base(F.col("path"), F.col("specifier"))).alias("base"))).filter(relative)
+    tries = rows.select("base").distinct().select("base", F.posexplode(N.candidates(F.col("base"))).alias("preference", "candidate"))
     gone = status.filter("status = 'D'").select("path").distinct()
     known = files.select(F.col("path").alias("candidate")).distinct().join(gone.select(F.col("path").alias("candidate"), F.lit(True).alias("gone")), "candidate", "left")
-    hit = tries.join(known, "candidate").groupBy("key").agg(F.min_by(F.struct("candidate", "gone"), "preference").alias("hit"))
-    lost = deleted_targets(tries.select("key", "candidate"), gone)
-    typed = files.filter(F.col("path").endswith(".ts") | F.col("path").endswith(".tsx"))
-    rows = rows.join(hit, "key", "left").join(lost, "key", "left")
+    hit = tries.join(known, "candidate").groupBy("base").agg(F.min_by(F.struct("candidate", "gone"), "preference").alias("hit"))
+    lost = deleted_targets(tries.select(F.col("base").alias("key"), "candidate"), gone).withColumnRenamed("key", "base")
     finding = F.when(F.col("hit").isNotNull(), F.when(F.col("hit.gone"), "stale").otherwise("found")).when(F.col("deleted").isNotNull(), "stale").otherwise("broken")
-    rows = rows.withColumn("finding", finding)
-    guess = guessed(rows.filter("finding = 'broken'").select("specifier"), typed.select("path", "ord"))
+    meant = cut(rows.select("base").distinct().join(hit, "base", "left").join(lost, "base", "left").select("base", finding.alias("finding"), F.coalesce("hit.candidate", "deleted").alias("target")))
+    broken = meant.filter("finding = 'broken'").select("base")
+    rows = rows.join(meant, "base", "left").withColumn("finding", F.coalesce("finding", F.lit("broken")))
+    if broken.isEmpty():
+        rows = rows.withColumn("candidate", F.lit(None).cast("string"))
+    else:
+        typed = files.filter(F.col("path").endswith(".ts") | F.col("path").endswith(".tsx"))
+        guess = guessed(rows.filter("finding = 'broken'").select("specifier"), typed.select("path", "ord"))
+        rows = rows.join(guess, "specifier", "left")
     climbs = F.regexp_count("specifier", F.lit(r"\.\./"))
-    return rows.join(guess, "specifier", "left").select(
-        "path", "line", "specifier", "finding", F.when(F.col("finding") != "broken", F.coalesce("hit.candidate", "deleted")).alias("target"),
+    return rows.select(
+        "path", "line", "specifier", "finding", F.when(F.col("finding") != "broken", F.col("target")).alias("target"),
         F.when(F.col("finding") == "broken", F.col("candidate")).alias("candidate"), F.when(climbs >= 2, "deep").otherwise("flat").alias("reach"),
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.substrings import holders
-from textloom.functions.text import line_array
+from textloom.functions.text import bind, line_array
 from textloom.plans.groups import linked
 from textloom.session import cut
 
@@ -83,11 +83,6 @@ def with_inserted(lines: Column, line: Column, content: Column) -> Column:
     return lines_text(F.concat(F.filter(lines, lambda x, i: i + 1 < line), F.array(bare(content)), F.filter(lines, lambda x, i: i + 1 >= line)))
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def replace_first(text: Column, find: Column, new: Column) -> Column:
     at = F.instr(text, find)
     return F.when(at == 0, text).otherwise(F.concat(F.substr(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(find))))
