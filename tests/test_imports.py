@@ -119,3 +119,14 @@ def test_a_module_is_named_in_one_pass_and_sought_once(spark):
     status = spark.createDataFrame([("D", "b/gone.ts")], "status string, path string")
     got = sorted((r.line, r.finding, r.target, r.candidate) for r in I.check_imports(imports, files, status).collect())
     assert got == [(1, "found", "a/y.ts", None), (2, "found", "a/y.ts", None), (3, "found", "a/y.ts", None), (4, "stale", "b/gone.ts", None)] + 2 * [(5, "broken", None, "a/none.tsx")] + [(7, "broken", None, "a/y.ts")]
+
+
+def test_what_passes_in_vain_does_not_grow_with_the_needles(spark):
+    rng = random.Random(8)
+    texts = spark.createDataFrame([(i, "".join(rng.choice("0123456789") for _ in range(2000))) for i in range(40)], "file_id bigint, text string").repartition(4)
+    for n in (20_000, 200_000):
+        needles = spark.range(n).select(F.format_string("%012d", F.col("id") * 4_999_999).alias("needle"))
+        assert S._passed(texts, needles, S.slots_for(n), "file_id", "text", S.PIECE).count() < 40
+    some = spark.createDataFrame([(t.text[k : k + 9],) for k, t in enumerate(texts.collect())], "needle string").unionByName(spark.range(3000).select(F.format_string("x%04d", "id").alias("needle")))
+    found = lambda **by: sorted(map(tuple, S.holders(texts, some, **by).collect()))
+    assert found(most=1 << 15) == found() and len(found()) == 40  # in two passes

@@ -3,22 +3,24 @@
 A needle of n bytes belongs to the class of the largest power of two q <= n. Every place of a
 text is looked up by the hash of its next q bytes in a bitmap of the needles' first q
 bytes; places that pass, by the hash of n bytes in a bitmap of whole needles. What passes
-both is handed on as a string and meets the needles by equality, so the answer is exact.
-Both bitmaps have a fixed size, however many needles there are; more needles only let more places pass.
+both (the second at two slots) is handed on as a string and meets the needles by equality, so
+the answer is exact. The bitmaps have ``ROOM`` slots for each needle, so the share of places that pass in vain
+does not grow with the needles, up to a fixed size; what needles are beyond it are searched in further passes.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of each bitmap: 2 MB.
-SLOTS = 1 << 24
+#: Bits of each bitmap for a needle, and at least and at most (32 MB) in all.
+ROOM, LEAST, MOST = 32, 1 << 20, 1 << 28
 #: Bytes of a text that are looked at together; pieces overlap by the longest needle.
 PIECE = 1 << 19
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -50,38 +52,67 @@ def class_of(n: int) -> int:
     return 1 << (n.bit_length() - 1)
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for needle in batch.column(0).to_pylist():
-            data = needle.encode("utf-8", "surrogatepass")
-            hashed = Rolling(data)
-            for kind, n in enumerate((class_of(len(data)), len(data))):
-                rows.append((kind, len(data), int(hashed.of(np.zeros(1, np.int64), n)[0] % np.uint64(SLOTS))))
-        kind, n, slot = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(n, pa.int64()), pa.array(slot, pa.int64())], names=["kind", "n", "slot"])
+def slots_for(needles: int, most: int = MOST) -> int:
+    """Bits of a bitmap for so many needles: a power of two."""
+    return min(max(LEAST, 1 << (ROOM * needles - 1).bit_length()), most) if needles else LEAST
 
 
-def holders(texts: DataFrame, needles: DataFrame, id_col: str = "file_id", text_col: str = "text", piece_size: int = PIECE) -> DataFrame:
+def _low(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _high(h: np.ndarray, slots: int) -> np.ndarray:
+    return (h >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def _slots(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for needle in batch.column(0).to_pylist():
+                data = needle.encode("utf-8", "surrogatepass")
+                hashed, start = Rolling(data), np.zeros(1, np.int64)
+                first, whole = hashed.of(start, class_of(len(data))), hashed.of(start, len(data))
+                rows += [(0, int(_low(first, slots)[0])), (1, int(_low(whole, slots)[0])), (1, int(_high(whole, slots)[0]))]
+            kind, slot = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(slot, pa.int64())], names=["kind", "slot"])
+
+    return run
+
+
+def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def holders(texts: DataFrame, needles: DataFrame, id_col: str = "file_id", text_col: str = "text", piece_size: int = PIECE, most: int = MOST) -> DataFrame:
     """(id, needle): which texts contain which strings of ``needles`` (column ``needle``), each pair once.
 
-    Null and empty needles: in no text. Null texts: hold nothing. Case counts.
+    Null and empty needles: in no text. Null texts: hold nothing. Case counts. More needles than a
+    bitmap of ``most`` bits has room for are dealt into several passes over the texts by their hash.
     """
     needles = needles.filter("needle <> ''").select("needle").distinct()
-    hashed = needles.mapInArrow(_slots, "kind int, n bigint, slot bigint")
-    # SLOTS / 32,768 rows for each kind; a row for each length that needles have
+    n = needles.count()
+    passes = max(1, -(-n * ROOM // (2 * most)))
+    parts = [needles if passes == 1 else needles.filter(F.pmod(F.xxhash64("needle"), F.lit(passes)) == k) for k in range(passes)]
+    passed = reduce(DataFrame.unionByName, [_passed(texts, part, slots_for(-(-n // passes), most), id_col, text_col, piece_size) for part in parts])
+    return passed.join(needles, "needle", "left_semi").select(F.col("id").alias(id_col), "needle")
+
+
+def _passed(texts: DataFrame, needles: DataFrame, slots: int, id_col: str, text_col: str, piece_size: int) -> DataFrame:
+    """(id, needle): the strings in texts that pass the bitmaps of ``needles``, all needles among them."""
+    hashed = needles.mapInArrow(_slots(slots), "kind int, slot bigint")
+    # slots / 32,768 rows for each kind; a row for each length that needles have
     bits = hashed.groupBy("kind", F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).collect()
-    maps = [np.zeros(SLOTS, bool) for _ in range(2)]
+    packed = [np.zeros(slots // 8, np.uint8) for _ in range(2)]
     for r in bits:
-        maps[r["kind"]][r["part"] * 32768 : (r["part"] + 1) * 32768] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
-    packed = [np.packbits(m) for m in maps]
+        packed[r["kind"]][r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     lengths = defaultdict(list)
     for r in needles.select(F.octet_length("needle").alias("n")).distinct().collect():
         lengths[class_of(r["n"])].append(r["n"])
     longest = max((n for found in lengths.values() for n in found), default=0)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, whole = (np.unpackbits(p).astype(bool) for p in packed)
+        first, whole = packed
 
         def found_in(data: bytes) -> set[bytes]:
             out: set[bytes] = set()
@@ -90,11 +121,11 @@ def holders(texts: DataFrame, needles: DataFrame, id_col: str = "file_id", text_
                 hashed = Rolling(piece)
                 for q, sizes in lengths.items():
                     at = np.arange(min(piece_size, hashed.size - q + 1)) if hashed.size >= q else np.zeros(0, np.int64)
-                    at = at[first[(hashed.of(at, q) % np.uint64(SLOTS)).astype(np.int64)]]
+                    at = at[_held(first, _low(hashed.of(at, q), slots))]
                     for n in sizes:
                         fits = at[at + n <= hashed.size]
                         h = hashed.of(fits, n)
-                        passed = whole[(h % np.uint64(SLOTS)).astype(np.int64)]
+                        passed = _held(whole, _low(h, slots)) & _held(whole, _high(h, slots))
                         _, once = np.unique(h[passed], return_index=True)
                         out.update(piece[a : a + n] for a in fits[passed][once].tolist())
             return out
@@ -111,8 +142,7 @@ def holders(texts: DataFrame, needles: DataFrame, id_col: str = "file_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(found, pa.string())], names=["id", "needle"])
 
     kind = texts.schema[id_col].dataType.simpleString()
-    passed = texts.select(F.col(id_col), F.col(text_col)).mapInArrow(find, f"id {kind}, needle string")
-    return passed.join(needles, "needle", "left_semi").select(F.col("id").alias(id_col), "needle")
+    return texts.select(F.col(id_col), F.col(text_col)).mapInArrow(find, f"id {kind}, needle string")
 
 
 def grams(text, n: int):
