@@ -146,3 +146,13 @@ def test_patches_change_what_they_name(spark):
 def test_paths_hash(spark):
     rows = catalog.QUERIES["fnv_hash"](spark, SF).collect()
     assert [r.hash for r in rows] == fnv1a([r.path.encode() for r in rows])
+
+
+def test_dependencies_have_a_task_for_so_many_rows(spark, monkeypatch):
+    from textloom.sources import relations
+
+    whole = Relations(spark, SF).dependencies.collect()
+    monkeypatch.setattr(relations, "EDGES_OF_A_TASK", 500)
+    d = Relations(spark, SF).dependencies
+    assert d.rdd.getNumPartitions() == spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500
+    assert sorted(d.collect()) == sorted(whole)

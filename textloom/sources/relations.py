@@ -18,6 +18,8 @@ from textloom.functions.text import line_array
 from textloom.session import table
 
 ROOT = "crates/apps/"
+#: Dependencies that a task makes distinct, about.
+EDGES_OF_A_TASK = 250_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +116,10 @@ class Relations:
     def dependencies(self) -> DataFrame:
         """source, target, kind."""
         imports = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
-        edges = self.read("lineitem").select("l_suppkey", "l_partkey", imports.alias("imports")).distinct()  # of numbers, not of names
+        rows = self.read("lineitem")
+        edges = rows.select("l_suppkey", "l_partkey", imports.alias("imports"))
+        # as many tasks as rows need, so that the table a task holds does not grow with them
+        edges = edges.repartition(max(1, rows.count() // EDGES_OF_A_TASK), "l_suppkey", "l_partkey").distinct()  # of numbers, not of names
         return edges.select(F.concat(F.lit("f"), "l_suppkey").alias("source"), F.concat(F.lit("f"), "l_partkey").alias("target"), F.when(F.col("imports"), "imports").otherwise("uses").alias("kind"))
 
     @cached_property
