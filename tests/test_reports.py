@@ -156,3 +156,11 @@ def test_dependencies_have_a_task_for_so_many_rows(spark, monkeypatch):
     d = Relations(spark, SF).dependencies
     assert d.rdd.getNumPartitions() == spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500
     assert sorted(d.collect()) == sorted(whole)
+
+
+def test_fields_of_types_of_documents_of_any_number(spark, tmp_path):
+    from textloom.operators.sources import type_fields
+
+    spark.createDataFrame([(i,) for i in (39_999, 40_000, 300_001, 3_000_001)], "doc_id bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.ord: r.fields for r in type_fields(Relations(spark, str(tmp_path))).collect()}
+    assert got == {39_999: "first,nested,last39999", 40_000: "", 300_001: "first,nested,last300001", 3_000_001: "first,nested,last3000001"}
