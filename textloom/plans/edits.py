@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import line_array
 from textloom.operators.catalog import report
 from textloom.plans.ops import KINDS, LINK_KINDS, OK, RANGE_KINDS, SYMBOL_KINDS, apply_ops, check_ops
+from textloom.session import cut
 
 
 def splice(lines: Column, start: Column, stop: Column, new: Column) -> Column:
@@ -167,7 +168,7 @@ after AS (SELECT path, {_EDITED} AS text FROM good UNION SELECT target, coalesce
 SELECT path, text, NULL::VARCHAR AS failed FROM after""")
 def ops_apply(rel):
     """Every path that the operations without a fault touch, with its text afterwards."""
-    ops = operations(rel)
+    ops = cut(operations(rel))
     good = check_ops(ops, rel.files, rel.symbols, rel.changed).filter(F.col("verdict") == OK).select("op_id")
     return apply_ops(ops.join(good, "op_id"), rel.files, rel.symbols, rel.changed)
 

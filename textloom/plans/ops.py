@@ -278,7 +278,7 @@ def found_anywhere(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed
 
 def check_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: DataFrame) -> DataFrame:
     """op_id, kind, path, verdict of every operation."""
-    ops = with_symbols(plan(ops), files, symbols)
+    ops = cut(with_symbols(plan(ops), files, symbols))
     made = F.when(F.col("kind").isin("create_file", "replace_file"), True).when(F.col("kind").isin("delete_file", "move_file", "rename_file"), False)
     events = ops.select("op_id", "path", made.alias("there")).unionByName(ops.filter(F.col("kind").isin(*LINK_KINDS)).select("op_id", F.col("target").alias("path"), F.lit(True).alias("there")))
     events = events.filter("there IS NOT NULL AND path IS NOT NULL").select("op_id", "path", "there", F.lit(False).alias("asks"))
@@ -288,9 +288,10 @@ def check_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: Dat
     at = files.select(F.col("path"), F.col("text").alias("own"))
     targets = files.select(F.col("path").alias("target"), F.lit(True).alias("target_there"))
     dirs = files.select(F.explode(folders(F.col("path"))).alias("path")).distinct().withColumn("is_folder", F.lit(True))
-    rows = ops.join(at, "path", "left").join(targets, "target", "left").join(virtual, "op_id", "left")
+    # the texts come last, so that no other join carries them
+    rows = ops.join(targets, "target", "left").join(virtual, "op_id", "left").join(found_anywhere(ops, files, symbols, changed), "op_id", "left")
     rows = rows.join(dirs.join(ops.filter(F.col("kind").isin(*FOLDER_KINDS)).select("path").distinct(), "path"), "path", "left")
-    rows = rows.join(found_anywhere(ops, files, symbols, changed), "op_id", "left")
+    rows = rows.join(at, "path", "left")
     rows = cut(rows)  # the rules are a large expression, planned once over what was joined
     op = {c: F.col(c) for c in (*PLAN, *_SYMBOL)}
     flags = F.coalesce("target_there", F.lit(False)), F.coalesce("is_folder", F.lit(False)), F.coalesce("found", F.lit(0)), F.col("virtual")
@@ -337,7 +338,7 @@ def apply_ops(ops: DataFrame, files: DataFrame, symbols: DataFrame, changed: Dat
     """
     if on_error not in ON_ERROR:
         raise ValueError(f"on_error is one of {ON_ERROR}")
-    ops = plan(ops)
+    ops = cut(plan(ops))
     each, failures = wide(ops, files, symbols, changed)
     todo = cut(with_symbols(ops.filter("path IS NOT NULL").unionByName(each), files, symbols))
     failures = cut(failures)
