@@ -59,6 +59,27 @@ def test_bursts_are_one_write_each(spark, tmp_path):
     assert sum(len(v) for v in second.values()) < 60
 
 
+def test_roots_share_their_state(spark, tmp_path):
+    rng = random.Random(5)
+    start, events = 1_700_000_000_000, {}
+    for k in range(600):
+        ms, events[f"r{k}"] = start + rng.randrange(5000), []
+        for _ in range(8):
+            events[f"r{k}"].append((ms, f"f{rng.randrange(3)}"))
+            ms += rng.choice([0, 300, 699, 700, 2500, 6000])
+    everything = sorted((ms, root, path) for root, found in events.items() for ms, path in found)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(0, len(everything), 1600):
+        part = everything[k : k + 1600]
+        rng.shuffle(part)
+        spark.createDataFrame([(root, path, ms) for ms, root, path in part], "root string, path string, ms bigint").coalesce(1).write.mode("append").parquet(folder)
+    want = {root: folded(found, D.QUIET_MS, D.INTERVAL_MS, everything[-1][0] - 2000) for root, found in events.items()}
+    assert run(spark, folder, out) == {root: writes for root, writes in want.items() if writes}
+    # each key of the state costs calls of its own, so there are no more keys than groups
+    state = spark.read.format("statestore").option("path", f"{out}/checkpoint").option("stateVarName", "times").load()
+    assert state.count() <= 128
+
+
 def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     at = str(tmp_path / "relation")
     rows = spark.range(500).select(F.concat(F.lit("p"), "id").alias("path"), F.lit("old").alias("hash"))

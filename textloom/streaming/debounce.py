@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,81 +24,120 @@ from textloom.streaming.upkeep import _SNAP, delta, merge, snapshots
 QUIET_MS = 700
 INTERVAL_MS = 1000
 WRITES = "root string, nth bigint, written_ms bigint, events bigint, paths array<string>"
+WROTE = ["root", "nth", "written_ms", "events", "paths"]
+
+#: Groups that roots share their state in, if not said otherwise.
+GROUPS = 128
+#: Most events of one entry of the state, and writes of one frame.
+ENTRY = 10_000
 
 
 class Debounce(StatefulProcessor):
-    """State of a root: events the watermark has not passed, the paths of the open burst, and its times."""
+    """State of a group of roots: events the watermark has not passed, the paths of open bursts, and each root's times.
+
+    Each call of the state is a round trip to the JVM, however little it moves: so roots share entries, what
+    arrives is only put down, and nothing is read before the first time at which something may fall due.
+    """
 
     def __init__(self, quiet_ms: int, interval_ms: int):
         self.quiet, self.interval = quiet_ms, interval_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms bigint, path string")
-        self.paths = handle.getMapState("paths", "path string", "n bigint")
+        self.waiting = handle.getListState("waiting", "root array<string>, ms array<bigint>, path array<string>")
+        self.paths = handle.getValueState("paths", "root array<string>, path array<string>, n array<bigint>")
         # last: of the open burst, -1 if there is none; wrote: -1 before the first write
-        self.times = handle.getValueState("times", "last bigint, wrote bigint, nth bigint")
+        self.times = handle.getValueState("times", "root array<string>, last array<bigint>, wrote array<bigint>, nth array<bigint>")
 
     def _due(self, last: int, wrote: int) -> int:
         return last + self.quiet if wrote < 0 else max(last + self.quiet, wrote + self.interval)
 
-    def _advance(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+    def _timers(self) -> list[int]:
+        return [timer[0] if isinstance(timer, tuple) else timer for timer in self.handle.listTimers()]
+
+    def _advance(self, watermark: int) -> Iterator[pd.DataFrame]:
         """Take in the events up to the watermark, in order, and write what falls due."""
-        events = sorted((int(ms), path) for ms, path in self.waiting.get())
-        ready, later = [e for e in events if e[0] <= watermark], [e for e in events if e[0] > watermark]
-        last, wrote, nth = self.times.get() if self.times.exists() else (-1, -1, 0)
-        burst = {k[0]: v[0] for k, v in self.paths.iterator()}
+        ready, later = {}, []
+        for entry in self.waiting.get():
+            for root, ms, path in zip(*entry, strict=True):
+                if ms <= watermark:
+                    ready.setdefault(root, []).append((ms, path))
+                else:
+                    later.append((root, ms, path))
+        times = {root: of for root, *of in zip(*self.times.get(), strict=True)} if self.times.exists() else {}
+        bursts = {}
+        for root, path, n in zip(*self.paths.get(), strict=True) if self.paths.exists() else ():
+            bursts.setdefault(root, {})[path] = n
+        wake = min((ms for _, ms, _ in later), default=None)
         out = []
-
-        def write(at: int) -> None:
-            nonlocal last, wrote, nth, burst
-            out.append((key[0], nth, at, sum(burst.values()), sorted(burst)))
-            last, wrote, nth, burst = -1, at, nth + 1, {}
-
-        for ms, path in ready:
-            if last >= 0 and ms >= self._due(last, wrote):
-                write(self._due(last, wrote))
-            burst[path] = burst.get(path, 0) + 1
-            last = ms
-        if last >= 0 and self._due(last, wrote) <= watermark:
-            write(self._due(last, wrote))
+        for root in [*times, *(root for root in ready if root not in times)]:
+            last, wrote, nth = times.get(root, (-1, -1, 0))
+            burst = bursts.get(root, {})
+            due = self._due(last, wrote)
+            for ms, path in sorted(ready.get(root, ()), key=itemgetter(0)):
+                if last >= 0 and ms >= due:
+                    out.append((root, nth, due, sum(burst.values()), sorted(burst)))
+                    wrote, nth, burst = due, nth + 1, {}
+                burst[path] = burst.get(path, 0) + 1
+                last, due = ms, self._due(ms, wrote)
+            if last >= 0 and due <= watermark:
+                out.append((root, nth, due, sum(burst.values()), sorted(burst)))
+                last, wrote, nth, burst = -1, due, nth + 1, {}
+            elif last >= 0:
+                wake = due if wake is None else min(wake, due)
+            times[root], bursts[root] = (last, wrote, nth), burst
+            if len(out) >= ENTRY:
+                yield pd.DataFrame(out, columns=WROTE)
+                out = []
         self.waiting.clear()
         if later:
-            self.waiting.put(later)
-        self.paths.clear()
-        for path, n in burst.items():
-            self.paths.updateValue((path,), (n,))
-        self.times.update((last, wrote, nth))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        wake = ([later[0][0]] if later else []) + ([self._due(last, wrote)] if last >= 0 else [])
-        if wake:
-            self.handle.registerTimer(max(min(wake), watermark + 1))
+            self.waiting.put([tuple(map(list, zip(*later[k : k + ENTRY], strict=True))) for k in range(0, len(later), ENTRY)])
+        self.times.update(([*times], *map(list, zip(*times.values(), strict=True))))
+        opened = [(root, path, n) for root, burst in bursts.items() for path, n in burst.items()]
+        self.paths.update(tuple(map(list, zip(*opened, strict=True))) or ([], [], []))
+        for timer in self._timers():
+            self.handle.deleteTimer(timer)
+        if wake is not None:
+            self.handle.registerTimer(max(wake, watermark + 1))
         if out:
-            yield pd.DataFrame(out, columns=["root", "nth", "written_ms", "events", "paths"])
+            yield pd.DataFrame(out, columns=WROTE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        firsts = []
         for part in rows:
-            self.waiting.appendList([(int(ms), path) for ms, path in zip(part["ms"], part["path"], strict=True)])
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+            entry = tuple(part[name].tolist() for name in ("root", "ms", "path"))
+            self.waiting.appendValue(entry)
+            firsts.append(min(entry[1]))
+        first = min(firsts)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if first <= watermark:
+            yield from self._advance(watermark)
+            return
+        timers = self._timers()
+        for timer in timers:
+            if timer > first:
+                self.handle.deleteTimer(timer)
+        if not any(timer <= first for timer in timers):
+            self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def debounced(changes: DataFrame, delay: str = "0 seconds", quiet_ms: int = QUIET_MS, interval_ms: int = INTERVAL_MS) -> DataFrame:
+def debounced(changes: DataFrame, delay: str = "0 seconds", quiet_ms: int = QUIET_MS, interval_ms: int = INTERVAL_MS, groups: int = GROUPS) -> DataFrame:
     """root, nth, written_ms, events, paths: the writes of a stream of changes (root, path, ts).
 
     A write falls due ``quiet_ms`` after the last change of its burst, and ``interval_ms`` after the write
     before; a change at that time or later begins the next burst. Paths are named once.
-    The state of a root is its open burst and what ``delay`` lets wait. Needs the RocksDB state store.
+    The state of a root is its open burst and what ``delay`` lets wait. Roots share their state in ``groups`` by a
+    hash: a task holds one group at a time, and a checkpoint keeps to its number. Needs the RocksDB state store.
     """
     timed = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    rows = timed.select("root", "path", "ts", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("root").transformWithStateInPandas(Debounce(quiet_ms, interval_ms), outputStructType=WRITES, outputMode="append", timeMode="EventTime")
+    rows = timed.select(bucket_of("root", groups).alias("bucket"), "root", "path", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("bucket").transformWithStateInPandas(Debounce(quiet_ms, interval_ms), outputStructType=WRITES, outputMode="append", timeMode="EventTime")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -115,6 +155,8 @@ def with_rocksdb(spark: SparkSession, run: Callable[[], None]) -> None:
 
 
 _QUIET, _INTERVAL = 2 * 3_600_000, 12 * 3_600_000
+#: Events of a group of users, about.
+EVENTS_OF_A_GROUP = 25_000
 
 
 @report("", f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS root, event_type AS path, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_type) AS k FROM events),
@@ -130,7 +172,7 @@ def events_debounced(rel):
     batch = rel.read("events")
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{rel.sf_dir}/events.parquet*")
     changes = stream.select(F.col("user_id").cast("string").alias("root"), F.col("event_type").alias("path"), "ts")
-    rows = debounced(changes, "10 minutes", _QUIET, _INTERVAL).withColumn("paths", F.array_join("paths", ","))
+    rows = debounced(changes, "10 minutes", _QUIET, _INTERVAL, max(GROUPS, batch.count() // EVENTS_OF_A_GROUP)).withColumn("paths", F.array_join("paths", ","))
     sink = rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True)
     with_rocksdb(spark, lambda: sink.start().awaitTermination())
     return spark.read.schema("root string, nth bigint, written_ms bigint, events bigint, paths string").parquet(f"{out}/rows")
